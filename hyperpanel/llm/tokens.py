@@ -1,89 +1,124 @@
 """Token ids of texts, by a public tokenizer file of the ``tokenizers`` library.
 
 Byte-level BPE cuts a text by a fixed pattern and encodes each piece by itself.
-No piece crosses a space that stands between two visible characters, so a text
-can be cut there, and the ids of each unit (a space and what follows up to the
-next one) are computed once per worker by the library and looked up afterwards.
-Texts with other runs of white space are given to the library as a whole; both
-ways give the same ids.
+No piece crosses a space that stands between two visible characters, so a batch
+of texts is cut there by Arrow, and only the distinct units (a space and what
+follows up to the next one) are encoded, once per worker, by the library's
+model. Units with characters on which Unicode tables may differ go through the
+library's own cutting, and texts with other runs of white space go to the
+library as a whole; all ways give the same ids.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units kept per worker; above it the table starts anew, which bounds memory.
 MOST_UNITS = 1_000_000
+#: Fixed value: the pattern by which byte-level BPE cuts texts.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of long standing, on which all Unicode tables agree.
+PLAIN = r"[\t\n\r\x20-\x7e\xa1-\u024f]*"
+
+
+def byte_letters() -> str:
+    """The letter of every byte in a byte-level vocabulary: visible Latin-1 bytes stand for themselves, the rest follow from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
 
 
 class UnitTable:
-    """Looks up the ids of a text's units; new units go to the library in one batch."""
+    """Ids of the units met so far, as one array with the start of each unit."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         pre = str(self.library.pre_tokenizer)
         self.by_unit = pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.library.normalizer is None
+        self.find, self.plain, self.letters = regex.compile(SPLIT).findall, regex.compile(PLAIN).fullmatch, byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        #: A unit's place; the first unit of a text, which has no space, stands in a tuple. -1: not to be cut before it.
-        self.index: dict[str | tuple[str], int] = {}
+        #: A unit's place; -1: a text is not to be cut before it.
+        self.index: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, units: list[str | tuple[str]]) -> None:
-        good = []
-        for u in units:
-            if isinstance(u, str) and (not u or u[0].isspace()):
-                self.index[u] = -1
-            else:
-                good.append(u)
-        lists = self.whole([u[0] if isinstance(u, tuple) else f" {u}" for u in good])
-        base = len(self.starts) - 1
-        self.index.update(zip(good, range(base, base + len(good)), strict=True))
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(lengths.sum()))])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of every text, as unsigned 32-bit arrays; null is empty."""
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def one(self, unit: str) -> list[int]:
+        """Ids of a short text, by its pieces."""
+        if not self.plain(unit):
+            return self.whole(unit)
+        known, out = self.pieces, []
+        for piece in self.find(unit):
+            ids = known.get(piece)
+            if ids is None:
+                ids = known[piece] = [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            out += ids
+        return out
+
+    def learn(self, units: list[str]) -> None:
+        at, flat, lengths = len(self.starts) - 1, [], []
+        for unit in units:
+            if not unit or unit[0].isspace():
+                self.index[unit] = -1
+                continue
+            ids = self.one(" " + unit)
+            flat += ids
+            lengths.append(len(ids))
+            self.index[unit] = at
+            at += 1
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(lengths, np.int64))])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, start of each text and the end) of a string column; null is empty."""
+        if column.null_count:
+            column = column.fill_null("")
+        n = len(column)
+        if not self.by_unit:
+            return _joined([np.array(self.whole(t), np.uint32) for t in column.to_pylist()])
         if len(self.index) > MOST_UNITS:
             self.clear()
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        hard, units_of = [], {}
-        for k, text in enumerate(texts):
-            if text and self.by_unit:
-                units_of[k] = units = text.split(" ")
-                units[0] = (units[0],)
-            elif text:
-                hard.append(k)
-        index = self.index
-        if new := [u for u in set().union(*units_of.values()) if u not in index]:
+        cut = pc.split_pattern(column, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = pc.dictionary_encode(cut.flatten())
+        units = coded.dictionary.to_pylist()
+        if new := [u for u in units if u not in self.index]:
             self.learn(new)
-        for k, units in units_of.items():
-            at = np.fromiter(map(index.__getitem__, units), np.int64, len(units))
-            if at.min() < 0:
-                hard.append(k)
-                continue
-            first = self.starts[at]
-            lengths = self.starts[at + 1] - first
-            ends = np.cumsum(lengths)
-            out[k] = self.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1])]
-        if hard:
-            for k, ids in zip(hard, self.whole([texts[k] for k in hard]), strict=True):
-                out[k] = np.array(ids, np.uint32)
-        return out
+        place = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        at = place[coded.indices.to_numpy()]
+        firsts = [self.one(units[k]) for k in coded.indices.to_numpy()[bounds[:-1]]] if n else []
+        at[bounds[:-1]] = 0  # a text's first unit follows no space and is encoded by itself
+        hard = np.flatnonzero(np.minimum.reduceat(at, bounds[:-1]) < 0) if n else []
+        at = np.maximum(at, 0)
+        starts = np.append(self.starts, self.starts[-1])
+        first = starts[at]
+        lengths = starts[at + 1] - first
+        lengths[bounds[:-1]] = 0
+        ends = np.cumsum(lengths)
+        flat = self.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        spans = np.concatenate([[0], ends])[bounds]
+        hard = set(map(int, hard))
+        return _joined([np.array(self.whole(column[k].as_py()), np.uint32) if k in hard else np.append(np.array(firsts[k], np.uint32), flat[spans[k] : spans[k + 1]]) for k in range(n)])
+
+
+def _joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint32), *arrays]), np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -93,12 +128,13 @@ def unit_table(path: str) -> UnitTable:
     return UnitTable(path)
 
 
-def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 512):
+def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
     """Yield (row, ids with the end id) of a string column."""
     table = unit_table(path)
     for start in range(0, len(column), at_once):
-        for k, ids in enumerate(table.encode(column.slice(start, at_once).to_pylist())):
-            yield start + k, np.append(ids, np.uint32(end_id))
+        ids, bounds = table.encode(column.slice(start, at_once))
+        for k in range(len(bounds) - 1):
+            yield start + k, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
