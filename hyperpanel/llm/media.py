@@ -240,7 +240,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 4 over all documents; the length of a text is what precedes the filling (byte 255 is in no UTF-8 text)."""
     docs = common.read_table(spark, sf_dir, "documents")
     stored = common.materialize(tile_media(text_media(docs), "id", "media"), "tiles")
-    unpadded = F.length(F.rtrim(F.decode("samples", F.lit("ISO-8859-1")), F.lit(chr(FILL))))
+    unpadded = F.length(F.rtrim(F.decode("samples", "ISO-8859-1"), F.lit(chr(FILL))))
     return read_tiles(stored).select(
         F.col("id").alias("doc_id"), unpadded.cast("long").alias("n_bytes"), F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
         F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"), F.length("npy").cast("long").alias("media_bytes"), F.sha2("npy", 256).alias("media_sha256"), F.col("dhash").alias("feature"),
