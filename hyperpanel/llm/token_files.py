@@ -65,14 +65,18 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[list[b
     for w in np.unique(width):
         which = np.flatnonzero(width == w)
         if w:
-            bits = (packed[which][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
+            unit = np.dtype("<u2" if w <= 16 else "<u4")
+            bits = np.unpackbits(packed[which].astype(unit).view(np.uint8).reshape(len(which), BLOCK, unit.itemsize), axis=2, count=int(w), bitorder="little")
             raw = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
             for k, row in zip(which, raw, strict=True):
                 parts[k] = row.tobytes()
-    odds = odd.sum(axis=1).astype(np.uint8)
+    odds = odd.sum(axis=1)
+    where, values = np.nonzero(odd)[1].astype(np.uint8).tobytes(), rest[odd].astype("<u4").tobytes()
+    ends = np.cumsum(odds).tolist()
     for k in np.flatnonzero(odds):
-        where = np.flatnonzero(odd[k])
-        parts[k] += where.astype(np.uint8).tobytes() + rest[k, where].astype("<u4").tobytes()
+        first, last = ends[k] - int(odds[k]), ends[k]
+        parts[k] += where[first:last] + values[4 * first : 4 * last]
+    odds = odds.astype(np.uint8)
     return parts, low, width, odds
 
 
@@ -158,10 +162,10 @@ class ShardReader:
             if w:
                 span = np.arange(BLOCK * int(w) // 8)
                 bits = np.unpackbits(raw[at[which][:, None] + span], axis=1, bitorder="little").reshape(len(which), BLOCK, w)
-                value = np.zeros((len(which), BLOCK), np.uint32)
-                for b in range(w):
-                    value |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-                out[which] = value
+                unit = np.dtype("<u2" if w <= 16 else "<u4")
+                full = np.zeros((len(which), BLOCK, 8 * unit.itemsize), np.uint8)
+                full[:, :, :w] = bits
+                out[which] = np.packbits(full, axis=2, bitorder="little").reshape(-1).view(unit).reshape(len(which), BLOCK)
         for k in np.flatnonzero(self.odds[first:last]):
             n, where = int(self.odds[first + k]), int(at[k]) + BLOCK * int(width[k]) // 8
             out[k, raw[where : where + n]] = raw[where + n : where + 5 * n].copy().view("<u4")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,24 +52,26 @@ class UnitTable:
     def clear(self) -> None:
         #: A unit's place; -1: a text is not to be cut before it.
         self.index: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        #: Ids of each piece as raw unsigned 32-bit numbers: small, and nothing for the garbage collector to walk.
+        self.pieces: dict[str, bytes] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def one(self, unit: str) -> list[int]:
-        """Ids of a short text, by its pieces."""
+    def one(self, unit: str) -> bytes:
+        """Raw ids of a short text, by its pieces."""
         if not self.plain(unit):
-            return self.whole(unit)
+            return np.array(self.whole(unit), np.uint32).tobytes()
         known, out = self.pieces, []
         for piece in self.find(unit):
             ids = known.get(piece)
             if ids is None:
-                ids = known[piece] = [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            out += ids
-        return out
+                tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+                ids = known[piece] = array("I", [t.id for t in tokens]).tobytes()
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def learn(self, units: list[str]) -> None:
         at, flat, lengths = len(self.starts) - 1, [], []
@@ -77,11 +80,11 @@ class UnitTable:
                 self.index[unit] = -1
                 continue
             ids = self.one(" " + unit)
-            flat += ids
-            lengths.append(len(ids))
+            flat.append(ids)
+            lengths.append(len(ids) // 4)
             self.index[unit] = at
             at += 1
-        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(flat), np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(lengths, np.int64))])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +117,7 @@ class UnitTable:
         flat = self.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         spans = np.concatenate([[0], ends])[bounds]
         hard = set(map(int, hard))
-        return _joined([np.array(self.whole(column[k].as_py()), np.uint32) if k in hard else np.append(np.array(firsts[k], np.uint32), flat[spans[k] : spans[k + 1]]) for k in range(n)])
+        return _joined([np.array(self.whole(column[k].as_py()), np.uint32) if k in hard else np.append(np.frombuffer(firsts[k], np.uint32), flat[spans[k] : spans[k + 1]]) for k in range(n)])
 
 
 def _joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +131,7 @@ def unit_table(path: str) -> UnitTable:
     return UnitTable(path)
 
 
-def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
+def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
     """Yield (row, ids with the end id) of a string column."""
     table = unit_table(path)
     for start in range(0, len(column), at_once):
