@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, token_files, warc
+from . import langid, media, packing, pii, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": token_files.query,
         "op3_warc_revisits": warc.query,
         "op4_media_tiles": media.query,
+        "op5_pseudonyms": pii.query,
         "op7_packing": packing.query,
+        "op8_language": langid.query,
     }
 
 
