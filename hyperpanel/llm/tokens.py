@@ -60,32 +60,39 @@ class UnitTable:
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            ids = self.pieces[piece] = array("I", [t.id for t in tokens]).tobytes()
+        return ids
+
     def one(self, unit: str) -> bytes:
         """Raw ids of a short text, by its pieces."""
         if not self.plain(unit):
             return np.array(self.whole(unit), np.uint32).tobytes()
-        known, out = self.pieces, []
-        for piece in self.find(unit):
-            ids = known.get(piece)
-            if ids is None:
-                tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-                ids = known[piece] = array("I", [t.id for t in tokens]).tobytes()
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    def learn(self, units: list[str]) -> None:
-        at, flat, lengths = len(self.starts) - 1, [], []
+        return b"".join(map(self.piece, self.find(unit)))
+
+    def learn(self, units: list[str]) -> np.ndarray:
+        """Places of new units."""
+        at, flat, places = len(self.starts) - 1, [], []
         for unit in units:
             if not unit or unit[0].isspace():
-                self.index[unit] = -1
+                places.append(-1)
                 continue
-            ids = self.one(" " + unit)
+            if unit.isalpha() and self.plain(unit):
+                ids = self.piece(" " + unit)
+            elif unit[-1] in ".," and unit[:-1].isalpha() and self.plain(unit):
+                ids = self.piece(" " + unit[:-1]) + self.piece(unit[-1])
+            else:
+                ids = self.one(" " + unit)
             flat.append(ids)
-            lengths.append(len(ids) // 4)
-            self.index[unit] = at
+            places.append(at)
             at += 1
+        self.index.update(zip(units, places, strict=True))
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(flat), np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(lengths, np.int64))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array([len(x) // 4 for x in flat], np.int64))])
+        return np.array(places, np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, start of each text and the end) of a string column; null is empty."""
@@ -101,9 +108,11 @@ class UnitTable:
         bounds -= bounds[0]
         coded = pc.dictionary_encode(cut.flatten())
         units = coded.dictionary.to_pylist()
-        if new := [u for u in units if u not in self.index]:
-            self.learn(new)
-        place = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        get = self.index.get
+        place = np.array([get(u, -2) for u in units], np.int64)
+        new = np.flatnonzero(place == -2)
+        if len(new):
+            place[new] = self.learn([units[k] for k in new])
         at = place[coded.indices.to_numpy()]
         firsts = [self.one(units[k]) for k in coded.indices.to_numpy()[bounds[:-1]]] if n else []
         at[bounds[:-1]] = 0  # a text's first unit follows no space and is encoded by itself
