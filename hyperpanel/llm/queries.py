@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, packing, pii, token_files, warc
+from . import langid, media, ngram_join, packing, pii, substrings, token_files, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": token_files.query,
+        "op2_ngram_join": ngram_join.query,
         "op3_warc_revisits": warc.query,
         "op4_media_tiles": media.query,
         "op5_pseudonyms": pii.query,
         "op7_packing": packing.query,
         "op8_language": langid.query,
+        "op9_substrings": substrings.query,
     }
 
 
