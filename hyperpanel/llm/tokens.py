@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept per worker; above it the table starts anew, which bounds memory.
-MOST_UNITS = 1_000_000
+MOST_UNITS = 600_000
 #: Fixed value: the pattern by which byte-level BPE cuts texts.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of long standing, on which all Unicode tables agree.
@@ -140,7 +140,7 @@ def unit_table(path: str) -> UnitTable:
     return UnitTable(path)
 
 
-def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
     """Yield (row, ids with the end id) of a string column."""
     table = unit_table(path)
     for start in range(0, len(column), at_once):
