@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, ngram_join, packing, pii, substrings, token_files, warc
+from . import langid, media, ngram_join, packing, pii, substrings, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": packing.query,
         "op8_language": langid.query,
         "op9_substrings": substrings.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
