@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, ngram_join, packing, pii, substrings, token_files, toxicity, warc
+from . import decontaminate, langid, media, ngram_join, packing, pii, substrings, token_files, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc_revisits": warc.query,
         "op4_media_tiles": media.query,
         "op5_pseudonyms": pii.query,
+        "op6_decontamination": decontaminate.query,
         "op7_packing": packing.query,
         "op8_language": langid.query,
         "op9_substrings": substrings.query,

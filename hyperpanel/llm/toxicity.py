@@ -335,6 +335,19 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
     return common.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep(docs: DataFrame, classifier: Classifier, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all their columns, that score below ``threshold``."""
+    model = docs.sparkSession.sparkContext.broadcast(classifier)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.row_slices(whole, at, SLICE):
+                yield batch.filter(pa.array(model.value.score(batch.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 10 over all documents."""
     docs = common.read_table(spark, sf_dir, "documents")
