@@ -25,8 +25,10 @@ from . import common
 CHUNK_BYTES = 2 << 20
 #: Entries that one bucket should hold.
 BUCKET_ENTRIES = 1_000_000
-LOW_BITS = np.uint64(40)
-LOW_MASK = np.uint64((1 << 40) - 1)
+#: An item is its bucket and 30 bits of its hash. With BUCKET_ENTRIES in a bucket one item in a thousand meets
+#: another one's key, at any size of the input; callers use verdicts only to find candidates.
+KEY_BITS = np.uint64(30)
+KEY_MASK = np.uint64((1 << 30) - 1)
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, nulls binary, offsets binary, data binary"
 REPLY_SCHEMA = "chunk long, bucket long, data binary"
 
@@ -80,18 +82,31 @@ def buckets_for(chunks: DataFrame, bytes_an_entry: float = 6.5) -> int:
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h >> LOW_BITS) % np.uint64(buckets)
+    return (h >> KEY_BITS) % np.uint64(buckets)
 
 
-def five_bytes(low: np.ndarray) -> np.ndarray:
-    """Rows of five bytes of numbers below 2^40."""
-    return np.ascontiguousarray(low.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+def four_bytes(h: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Rows of four bytes: the key of each hash and two bits."""
+    return ((h & KEY_MASK) << np.uint64(2) | flags.astype(np.uint64)).astype("<u4").view(np.uint8).reshape(-1, 4)
 
 
-def from_five_bytes(rows: np.ndarray) -> np.ndarray:
-    full = np.zeros((len(rows), 8), np.uint8)
-    full[:, :5] = rows
-    return full.reshape(-1).view("<u8")
+def key_and_flags(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    entry = np.ascontiguousarray(rows[:, :4]).view("<u4").reshape(-1)
+    return entry >> np.uint32(2), (entry & np.uint32(3)).astype(np.uint8)
+
+
+def place_of(bucket: np.ndarray | int, key: np.ndarray) -> np.ndarray:
+    """Bucket and key as one number."""
+    return np.uint64(bucket) << KEY_BITS | key.astype(np.uint64) if isinstance(bucket, int) else bucket << KEY_BITS | key.astype(np.uint64)
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Bytes plane by plane, which lets the shuffle's compression drop the planes of zeros."""
+    return np.ascontiguousarray(rows.T).tobytes()
+
+
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T
 
 
 def deal(chunk: int, bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
@@ -101,7 +116,7 @@ def deal(chunk: int, bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     firsts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
     ends = np.append(firsts, len(bucket))[1:]
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[firsts].astype(np.int64)), pa.array(np.full(len(firsts), chunk, np.int64)), pa.array([rows[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)], pa.binary())],
+        [pa.array(bucket[firsts].astype(np.int64)), pa.array(np.full(len(firsts), chunk, np.int64)), pa.array([packed(rows[a:b]) for a, b in zip(firsts, ends, strict=True)], pa.binary())],
         names=["bucket", "chunk", "data"],
     )
 
@@ -126,7 +141,7 @@ def meet(asked: DataFrame, width: int, judge: Callable[[np.ndarray, np.ndarray],
 
     def run(table: pa.Table) -> pa.Table:
         chunks = table.column("chunk").to_numpy()
-        parts = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in table.column("data").to_pylist()]
+        parts = [unpacked(x, width) for x in table.column("data").to_pylist()]
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         which, out = judge(np.concatenate(parts), owner)
         order = np.argsort(owner[which], kind="stable")
@@ -134,7 +149,7 @@ def meet(asked: DataFrame, width: int, judge: Callable[[np.ndarray, np.ndarray],
         firsts = np.flatnonzero(np.diff(who, prepend=-1))
         ends = np.append(firsts, len(who))[1:]
         bucket = table.column("bucket")[0].as_py()
-        return pa.table({"chunk": pa.array(chunks[who[firsts]], pa.int64()), "bucket": pa.array(np.full(len(firsts), bucket, np.int64)), "data": pa.array([out[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)], pa.binary())})
+        return pa.table({"chunk": pa.array(chunks[who[firsts]], pa.int64()), "bucket": pa.array(np.full(len(firsts), bucket, np.int64)), "data": pa.array([packed(out[a:b]) for a, b in zip(firsts, ends, strict=True)], pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, REPLY_SCHEMA)
 

@@ -101,40 +101,37 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, id_col: str, text_col:
     """SETS of every document, stored; ``common`` and ``signatures`` are null where no link is possible."""
     chunks = census.chunk_table(docs, id_col, text_col)
     buckets = census.buckets_for(chunks)
-    low = np.uint64((1 << 38) - 1)
-
     def count(row: dict) -> Iterator[pa.RecordBatch]:
         chunk = census.Chunk(row)
         doc, value = shingles(chunk, k)
         value = value[~chunk.null[doc]]
         if not len(value):
             return
-        bucket, key = census.bucket_of(value, buckets), value & low
+        bucket, key = census.bucket_of(value, buckets), value & census.KEY_MASK
         order, firsts = census.runs(bucket, key)
-        n = np.minimum(census.sizes(firsts, len(key)), 3).astype(np.uint64)
-        yield census.deal(chunk.id, bucket[order][firsts], census.five_bytes(key[order][firsts] << np.uint64(2) | n))
+        yield census.deal(chunk.id, bucket[order][firsts], census.four_bytes(key[order][firsts], np.minimum(census.sizes(firsts, len(key)), 3)))
 
     def frequencies(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        entry = census.from_five_bytes(rows)
-        order, firsts = census.runs(entry >> np.uint64(2))
-        total = np.add.reduceat((entry & np.uint64(3)).astype(np.int64)[order], firsts)
-        n = np.repeat(total, census.sizes(firsts, len(entry)))
+        key, seen = census.key_and_flags(rows)
+        order, firsts = census.runs(key)
+        total = np.add.reduceat(seen.astype(np.int64)[order], firsts)
+        n = np.repeat(total, census.sizes(firsts, len(key)))
         which = order[n > 1]
         return which, np.concatenate([rows[which], n[n > 1].astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
 
-    counted = common.materialize(census.meet(census.ask(chunks, count), 5, frequencies), "frequencies")
+    counted = common.materialize(census.meet(census.ask(chunks, count), 4, frequencies), "frequencies")
     census.release(chunks)
 
     def index(chunk: census.Chunk, said: dict[int, bytes]) -> pa.Table:
         doc, value = shingles(chunk, k)
         df = np.ones(len(value), np.int64)
         if said and len(value):
-            rows = {b: np.frombuffer(x, np.uint8).reshape(-1, 9) for b, x in said.items()}
-            known = np.concatenate([np.uint64(b) << np.uint64(38) | census.from_five_bytes(x[:, :5]) >> np.uint64(2) for b, x in rows.items()])
-            often = np.concatenate([np.ascontiguousarray(x[:, 5:]).view("<u4").reshape(-1) for x in rows.values()])
+            rows = {b: census.unpacked(x, 8) for b, x in said.items()}
+            known = np.concatenate([census.place_of(b, census.key_and_flags(x)[0]) for b, x in rows.items()])
+            often = np.concatenate([np.ascontiguousarray(x[:, 4:]).view("<u4").reshape(-1) for x in rows.values()])
             order = np.argsort(known)
             known, often = known[order], often[order]
-            key = census.bucket_of(value, buckets) << np.uint64(38) | value & low
+            key = census.place_of(census.bucket_of(value, buckets), value & census.KEY_MASK)
             place = np.minimum(np.searchsorted(known, key), len(known) - 1)
             df = np.where(known[place] == key, often[place], 1).astype(np.int64)
         total = len(chunk.ids)

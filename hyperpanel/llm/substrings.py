@@ -35,11 +35,6 @@ NONE = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string, repeats array<long>"
 
 
-def _anchor_keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, 38 bits) of anchor hashes; a rare collision only adds a candidate."""
-    return census.bucket_of(h, buckets), h & np.uint64((1 << 38) - 1)
-
-
 def _anchors(chunk: census.Chunk, words: Words, block: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of all rolling blocks of documents with ids."""
     at = np.flatnonzero(words.fits(block) & ~chunk.null[words.doc[: max(0, len(words.doc) - block + 1)]])
@@ -78,18 +73,17 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
         h, at = _anchors(chunk, words, block)
         if not len(h):
             return
-        bucket, low = _anchor_keys(h, buckets)
+        bucket, low = census.bucket_of(h, buckets), h & census.KEY_MASK
         doc = words.doc[at]
         aligned = ((at - words.first[doc]) % block == 0).astype(np.uint8)
         order, firsts = census.runs(bucket, low)
         doc = doc[order]
         many = np.minimum.reduceat(doc, firsts) != np.maximum.reduceat(doc, firsts)
-        flags = np.maximum.reduceat(aligned[order], firsts).astype(np.uint64) | many.astype(np.uint64) << np.uint64(1)
-        yield census.deal(chunk.id, bucket[order][firsts], census.five_bytes(low[order][firsts] << np.uint64(2) | flags))
+        flags = np.maximum.reduceat(aligned[order], firsts) | many.astype(np.uint8) << 1
+        yield census.deal(chunk.id, bucket[order][firsts], census.four_bytes(low[order][firsts], flags))
 
     def hits(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        entry = census.from_five_bytes(rows)
-        key, flags = entry >> np.uint64(2), (entry & np.uint64(3)).astype(np.uint8)
+        key, flags = census.key_and_flags(rows)
         order, firsts = census.runs(key)
         n = census.sizes(firsts, len(key))
         seen = np.bitwise_or.reduceat(flags[order], firsts)
@@ -97,7 +91,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
         which = order[hit]
         return which, rows[which]
 
-    anchored = common.materialize(census.meet(census.ask(chunks, probe), 5, hits), "anchors")
+    anchored = common.materialize(census.meet(census.ask(chunks, probe), 4, hits), "anchors")
     census.release(chunks)
 
     def candidates(chunk: census.Chunk, words: Words, said: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,9 +100,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
         none = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if not len(h) or not said:
             return none
-        bucket, low = _anchor_keys(h, buckets)
-        known = np.sort(np.concatenate([np.uint64(b) << np.uint64(38) | census.from_five_bytes(np.frombuffer(x, np.uint8).reshape(-1, 5)) >> np.uint64(2) for b, x in said.items()]))
-        key = bucket << np.uint64(38) | low
+        known = np.sort(np.concatenate([census.place_of(b, census.key_and_flags(census.unpacked(x, 4))[0]) for b, x in said.items()]))
+        key = census.place_of(census.bucket_of(h, buckets), h & census.KEY_MASK)
         place = np.minimum(np.searchsorted(known, key), len(known) - 1)
         marks = np.zeros(len(words.doc) + window + 1, np.int64)
         marks[at[known[place] == key]] = 1
@@ -151,7 +144,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
             n = census.sizes(firsts, len(h))
             again[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], firsts), n)
         if said and len(h):
-            rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 12) for x in said.values()])
+            rows = np.concatenate([census.unpacked(x, 12) for x in said.values()])
             kind = np.dtype([("h", "<u8"), ("c", "<u4")])
             known = np.sort(np.ascontiguousarray(rows).view(kind).reshape(-1), order=("h", "c"))
             first = np.searchsorted(known["h"], h)
