@@ -1,7 +1,8 @@
 """Toxicity by weak supervision (operator 10).
 
 1. Terms (words and 6-byte pieces of words, hashed) that mark toxic training
-   rows are found by a z-score over all labelled training rows; together with a
+   rows are found by a z-score over labelled training rows: all of them, or about
+   ``SAMPLE`` chosen by a hash of the id where there are more; together with a
    short list of insults and a few patterns they are candidate voters.
 2. One pass over all documents counts how often any two candidates fire
    together. Voters that nearly repeat another one are dropped.
@@ -13,7 +14,7 @@
    class explains makes two voters correlated, and they share their weight.
    The class balance comes from the training labels.
 4. A linear classifier (logistic regression over the terms and patterns) is
-   trained on the posterior labels of a bounded sample of training rows.
+   trained on the posterior labels of the same rows.
 
 Only texts enter a score. Everything sent to the driver is bounded: terms by
 ``TERMS``, moments by ``CANDIDATES`` squared, the sample by ``SAMPLE`` rows.
@@ -44,7 +45,7 @@ SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "wort
 PIECE = 6
 BUCKETS = 1 << 22
 #: Bounds: terms of the classifier, candidate voters, voters, and sampled rows to train on.
-TERMS, CANDIDATES, VOTERS, SAMPLE = 2048, 256, 96, 40_000
+TERMS, CANDIDATES, VOTERS, SAMPLE = 2048, 256, 96, 60_000
 #: Shares of characters above which a pattern voter fires.
 PATTERNS = {"shouts": 0.5, "marks": 0.02, "symbols": 0.05}
 #: Share of toxic rows among the training rows where a mined voter fires.
@@ -281,10 +282,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Classifier from all ``docs`` (their texts) and the ``labels`` (doc_id, toxic) of rows to learn from."""
     rows = common.id_and_text(docs, id_col, text_col)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").dropDuplicates(["doc_id"])
-    training = rows.join(known, "doc_id").filter("text IS NOT NULL").select("text", "toxic")
+    part = min(1.0, sample / max(1, known.count()))
+    if part < 1:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    training = rows.join(F.broadcast(known), "doc_id").filter("text IS NOT NULL").select("text", "toxic")  # about ``sample`` ids at most
     seed = word_buckets(seeds)
     found, n1, n0 = mine_terms(training, seed)
-    n_rows, balance = n1 + n0, min(max(n1 / max(1, n1 + n0), 0.005), 0.5)
+    balance = min(max(n1 / max(1, n1 + n0), 0.005), 0.5)
     mined = np.array(sorted(found, key=lambda t: (-found[t][0], t)), np.int64)
     precise = np.array([t for t in mined if found[t][1] >= PRECISION * (found[t][1] + found[t][2])], np.int64)
     candidates = np.unique(np.concatenate([seed, precise[:CANDIDATES]]))
@@ -300,9 +304,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms = np.unique(np.concatenate([candidates, mined]))
     at = np.searchsorted(terms, candidates)
     columns = np.concatenate([at, len(terms) + np.arange(len(PATTERNS))])[voters].astype(np.int64)
-    part = min(1.0, sample / max(1, n_rows))
-    chosen = training.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else training
-
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.row_slices(whole, 0, SLICE):
@@ -310,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 votes = model.posterior(f[:, columns])
                 yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(r).astype(np.int32) for r in f], pa.list_(pa.int32())), pa.array(votes)], names=["fired", "posterior"])
 
-    got = chosen.select("text").mapInArrow(features, "fired array<int>, posterior double").toArrow()
+    got = training.select("text").mapInArrow(features, "fired array<int>, posterior double").toArrow()
     width = len(terms) + len(PATTERNS)
     if not got.num_rows:
         weights = np.zeros(width + 1)
