@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Entries that one bucket should hold.
 BUCKET_ENTRIES = 1_000_000
 #: An item is its bucket and 30 bits of its hash. With BUCKET_ENTRIES in a bucket one item in a thousand meets

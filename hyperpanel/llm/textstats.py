@@ -27,35 +27,36 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=8)
-def _base(lane: int) -> tuple[np.ndarray, int]:
-    rng = np.random.Generator(np.random.PCG64(1_000 + lane))
-    return rng.integers(1, 2**63, 256, dtype=np.uint64), int(rng.integers(2**40, 2**62)) * 4 + 3
+@functools.lru_cache(maxsize=16)
+def _base(lane: int) -> np.ndarray:
+    """Random value of every byte; hashes of different lanes are independent."""
+    return np.random.Generator(np.random.PCG64(1_000 + lane)).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+#: Odd, so that its powers can be divided out.
+BASE = 0x5851F42D4C957F2D
+_POWERS: dict[bool, np.ndarray] = {}
 
 
-def _powers(lane: int, n: int, inverse: bool) -> np.ndarray:
-    have = _POWERS.get((lane, inverse))
+def _powers(n: int, inverse: bool) -> np.ndarray:
+    have = _POWERS.get(inverse)
     if have is None or len(have) < n:
-        r = _base(lane)[1]
-        r = pow(r, -1, 1 << 64) if inverse else r
-        row = np.full(max(n, 1 << 21), r, np.uint64)
+        size = 1 << max(16, (n - 1).bit_length())
+        row = np.full(size, pow(BASE, -1, 1 << 64) if inverse else BASE, np.uint64)
         row[0] = 1
         have = np.multiply.accumulate(row)
-        if n <= 1 << 21:
-            _POWERS[lane, inverse] = have
+        if size <= 1 << 21:  # those of an exceptionally long text are not kept
+            _POWERS[inverse] = have
     return have[:n]
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
     """Hash of ``values[start:end]`` for every span."""
     with np.errstate(over="ignore"):
         sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * _powers(lane, len(values), False), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _powers(lane, len(values) + 1, True)[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        np.cumsum(values * _powers(len(values), False), out=sums[1:])
+        h = (sums[ends] - sums[starts]) * _powers(len(values) + 1, True)[starts]
+        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(lane))
 
 
 class Words:
@@ -76,7 +77,7 @@ class Words:
         self.data = data
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        return spans_hash(_base(lane)[0][self.data], self.start, self.end, lane)
+        return spans_hash(_base(lane)[self.data], self.start, self.end, lane)
 
     def windows(self, hashes: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
         """Hash of the ``k`` words from each word on; those that run over the end of a text are to be left out by :meth:`fits`."""

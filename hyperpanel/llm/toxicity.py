@@ -63,7 +63,7 @@ def terms_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     doc, bucket = [words.doc], [h & np.uint64(BUCKETS - 1)]
     n = len(spaced) - PIECE + 1
     if n > 0:
-        value = _base(7)[0][spaced]
+        value = _base(7)[spaced]
         with np.errstate(over="ignore"):
             total = np.zeros(n, np.uint64)
             for k in range(PIECE):
@@ -102,7 +102,7 @@ def word_buckets(words: tuple[str, ...]) -> np.ndarray:
         return np.zeros(0, np.int64)
     offsets, data = common.utf8_buffers(pa.array(words))
     starts, ends = offsets[:-1], offsets[1:]
-    return (spans_hash(_base(6)[0][data], starts, ends, 6) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return (spans_hash(_base(6)[data], starts, ends, 6) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def fired(column: pa.Array, terms: np.ndarray) -> np.ndarray:
