@@ -5,7 +5,7 @@ shared folder, so every later pass sees the same chunks. A pass gives, for each
 chunk, its distinct hashed items with a few bytes of statistics; they are dealt
 by hash into buckets as packed arrays (one row for a chunk and bucket, not for
 an item), met in the buckets, and the verdict on each item is sent back to the
-chunks that asked. An item that stands in a third of all documents costs each
+chunks that asked: a bit for each entry, in the order in which it was asked. An item that stands in a third of all documents costs each
 chunk one entry, and each bucket one entry a chunk.
 """
 
@@ -95,11 +95,6 @@ def key_and_flags(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entry >> np.uint32(2), (entry & np.uint32(3)).astype(np.uint8)
 
 
-def place_of(bucket: np.ndarray | int, key: np.ndarray) -> np.ndarray:
-    """Bucket and key as one number."""
-    return np.uint64(bucket) << KEY_BITS | key.astype(np.uint64) if isinstance(bucket, int) else bucket << KEY_BITS | key.astype(np.uint64)
-
-
 def packed(rows: np.ndarray) -> bytes:
     """Bytes plane by plane, which lets the shuffle's compression drop the planes of zeros."""
     return np.ascontiguousarray(rows.T).tobytes()
@@ -110,9 +105,7 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
 
 
 def deal(chunk: int, bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    """One record a bucket of packed entries (``rows`` holds the bytes of each)."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, rows = bucket[order], rows[order]
+    """One record a bucket of packed entries (``rows`` holds the bytes of each); ``bucket`` is sorted."""
     firsts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
     ends = np.append(firsts, len(bucket))[1:]
     return pa.RecordBatch.from_arrays(
@@ -132,36 +125,57 @@ def ask(source: DataFrame, entries: Callable[[dict], Iterator[pa.RecordBatch]])
     return source.mapInArrow(run, "bucket long, chunk long, data binary")
 
 
-def meet(asked: DataFrame, width: int, judge: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def meet(asked: DataFrame, width: int, judge: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
     """Replies (chunk, bucket, data) of every bucket.
 
-    ``judge(rows, owner)`` sees all entries of a bucket and the number of the
-    chunk row of each; it gives the entries to reply to and the reply's bytes.
+    ``judge(rows)`` sees all entries of a bucket and says which ones hold, in
+    ascending order, with bytes to send for each of these or None.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        chunks = table.column("chunk").to_numpy()
         parts = [unpacked(x, width) for x in table.column("data").to_pylist()]
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        which, out = judge(np.concatenate(parts), owner)
-        order = np.argsort(owner[which], kind="stable")
-        who, out = owner[which][order], out[order]
-        firsts = np.flatnonzero(np.diff(who, prepend=-1))
-        ends = np.append(firsts, len(who))[1:]
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"chunk": pa.array(chunks[who[firsts]], pa.int64()), "bucket": pa.array(np.full(len(firsts), bucket, np.int64)), "data": pa.array([packed(out[a:b]) for a, b in zip(firsts, ends, strict=True)], pa.binary())})
+        ends = np.cumsum([len(p) for p in parts])
+        which, more = judge(np.concatenate(parts))
+        holds = np.zeros(ends[-1], bool)
+        holds[which] = True
+        cuts = np.searchsorted(which, np.concatenate([[0], ends]))
+        out = [None if a == b else np.packbits(holds[end - len(p) : end]).tobytes() + (b"" if more is None else packed(more[a:b])) for p, end, a, b in zip(parts, ends, cuts[:-1], cuts[1:], strict=True)]
+        answered = pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary())})
+        return answered.filter(answered.column("data").is_valid())
 
     return asked.groupBy("bucket").applyInArrow(run, REPLY_SCHEMA)
 
 
-def answer(chunks: DataFrame, replies: DataFrame, use: Callable[[Chunk, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """``use(chunk, {bucket: data})`` for every chunk with the replies sent to it."""
+def replied(said: dict[int, bytes], bucket: np.ndarray, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(does each entry hold, bytes sent for those) of entries asked in the order of ``bucket``."""
+    holds, more = np.zeros(len(bucket), bool), [np.zeros((0, width), np.uint8)]
+    firsts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+    for a, b in zip(firsts, np.append(firsts, len(bucket))[1:], strict=True):
+        data = said.get(int(bucket[a]))
+        if data is None:
+            continue
+        size = -(-int(b - a) // 8)
+        holds[a:b] = np.unpackbits(np.frombuffer(data, np.uint8, size), count=int(b - a)).astype(bool)
+        if width:
+            more.append(unpacked(data[size:], width))
+    return holds, np.concatenate(more)
+
+
+def answer(chunks: DataFrame, replies: list[DataFrame], use: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """``use(chunk, {bucket: data}, ...)`` for every chunk, with what was sent to it in each of ``replies``."""
+    tagged, rounds = None, len(replies)
+    for k, sent in enumerate(replies):
+        own = sent.select(F.lit(k).alias("round"), "chunk", "bucket", "data")
+        tagged = own if tagged is None else tagged.unionByName(own)
 
     def run(own: pa.Table, got: pa.Table) -> pa.Table:
-        said = dict(zip(got.column("bucket").to_pylist(), got.column("data").to_pylist(), strict=True))
-        return pa.concat_tables([use(Chunk(row), said) for row in own.to_pylist()])
+        said: list[dict[int, bytes]] = [{} for _ in range(rounds)]
+        if got.num_rows:
+            for k, bucket, data in zip(*(got.column(c).to_pylist() for c in ("round", "bucket", "data")), strict=True):
+                said[k][bucket] = data
+        return pa.concat_tables([use(Chunk(row), *said) for row in own.to_pylist()])
 
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.groupBy("chunk").cogroup(tagged.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -111,13 +111,14 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, id_col: str, text_col:
         order, firsts = census.runs(bucket, key)
         yield census.deal(chunk.id, bucket[order][firsts], census.four_bytes(key[order][firsts], np.minimum(census.sizes(firsts, len(key)), 3)))
 
-    def frequencies(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def frequencies(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key, seen = census.key_and_flags(rows)
         order, firsts = census.runs(key)
         total = np.add.reduceat(seen.astype(np.int64)[order], firsts)
-        n = np.repeat(total, census.sizes(firsts, len(key)))
-        which = order[n > 1]
-        return which, np.concatenate([rows[which], n[n > 1].astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
+        n = np.zeros(len(key), np.int64)
+        n[order] = np.repeat(total, census.sizes(firsts, len(key)))
+        which = np.flatnonzero(n > 1)
+        return which, np.minimum(n[which], 65_535).astype("<u2").view(np.uint8).reshape(-1, 2)
 
     counted = common.materialize(census.meet(census.ask(chunks, count), 4, frequencies), "frequencies")
     census.release(chunks)
@@ -126,14 +127,15 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, id_col: str, text_col:
         doc, value = shingles(chunk, k)
         df = np.ones(len(value), np.int64)
         if said and len(value):
-            rows = {b: census.unpacked(x, 8) for b, x in said.items()}
-            known = np.concatenate([census.place_of(b, census.key_and_flags(x)[0]) for b, x in rows.items()])
-            often = np.concatenate([np.ascontiguousarray(x[:, 4:]).view("<u4").reshape(-1) for x in rows.values()])
-            order = np.argsort(known)
-            known, often = known[order], often[order]
-            key = census.place_of(census.bucket_of(value, buckets), value & census.KEY_MASK)
-            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            df = np.where(known[place] == key, often[place], 1).astype(np.int64)
+            mine = ~chunk.null[doc]
+            bucket, key = census.bucket_of(value, buckets), value & census.KEY_MASK
+            order, firsts = census.runs(bucket[mine], key[mine])
+            holds, often = census.replied(said, bucket[mine][order][firsts], 2)
+            found = np.ones(len(firsts), np.int64)
+            found[holds] = np.ascontiguousarray(often).view("<u2").reshape(-1)
+            own = np.empty(len(order), np.int64)
+            own[order] = np.repeat(found, census.sizes(firsts, len(order)))
+            df[mine] = own
         total = len(chunk.ids)
         n = np.bincount(doc, minlength=total)
         shared = np.bincount(doc[df > 1], minlength=total)
@@ -153,7 +155,7 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, id_col: str, text_col:
             "common": pa.array(sets, pa.binary()), "signatures": pa.array(keys, pa.list_(pa.int64())),
         })
 
-    out = common.materialize(census.answer(chunks, counted, index, SETS), "sets")
+    out = common.materialize(census.answer(chunks, [counted], index, SETS), "sets")
     common.drop_table(docs.sparkSession, chunks)
     common.drop_table(docs.sparkSession, counted)
     census.release(out)

@@ -31,14 +31,16 @@ from . import census, common
 from .textstats import Words
 
 WINDOW = 13
-NONE = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string, repeats array<long>"
 
 
-def _anchors(chunk: census.Chunk, words: Words, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of all rolling blocks of documents with ids."""
+def _anchors(chunk: census.Chunk, words: Words, block: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """(start of each rolling block in order of (bucket, key), first of each run, bucket and key of each run)."""
     at = np.flatnonzero(words.fits(block) & ~chunk.null[words.doc[: max(0, len(words.doc) - block + 1)]])
-    return words.windows(words.hashes(0), block, 2)[at], at
+    h = words.windows(words.hashes(0), block, 2)[at]
+    bucket, key = census.bucket_of(h, buckets), h & census.KEY_MASK
+    order, firsts = census.runs(bucket, key)
+    return at[order], firsts, bucket[order][firsts], key[order][firsts]
 
 
 def _windows(chunk: census.Chunk, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,11 +49,9 @@ def _windows(chunk: census.Chunk, words: Words, window: int) -> tuple[np.ndarray
     return words.windows(words.hashes(0), window, 3)[at], (words.windows(words.hashes(1), window, 4)[at] >> np.uint64(32)).astype(np.uint32), at
 
 
-def _window_rows(h: np.ndarray, check: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
-    parts = [h.astype("<u8").view(np.uint8).reshape(-1, 8), check.astype("<u4").view(np.uint8).reshape(-1, 4)]
-    if doc is not None:
-        parts.append(doc.astype("<i8").view(np.uint8).reshape(-1, 8))
-    return np.ascontiguousarray(np.concatenate(parts, axis=1))
+def _window_rows(h: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    parts = [(h, "<u8"), (check, "<u4"), (doc, "<i8")]
+    return np.concatenate([np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), -1) for x, kind in parts], axis=1)
 
 
 def _field(rows: np.ndarray, a: int, b: int, kind: str) -> np.ndarray:
@@ -70,90 +70,66 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
     def probe(row: dict) -> Iterator[pa.RecordBatch]:
         chunk = census.Chunk(row)
         words = Words(chunk.offsets, chunk.data)
-        h, at = _anchors(chunk, words, block)
-        if not len(h):
+        at, firsts, bucket, key = _anchors(chunk, words, block, buckets)
+        if not len(at):
             return
-        bucket, low = census.bucket_of(h, buckets), h & census.KEY_MASK
         doc = words.doc[at]
         aligned = ((at - words.first[doc]) % block == 0).astype(np.uint8)
-        order, firsts = census.runs(bucket, low)
-        doc = doc[order]
         many = np.minimum.reduceat(doc, firsts) != np.maximum.reduceat(doc, firsts)
-        flags = np.maximum.reduceat(aligned[order], firsts) | many.astype(np.uint8) << 1
-        yield census.deal(chunk.id, bucket[order][firsts], census.four_bytes(low[order][firsts], flags))
+        yield census.deal(chunk.id, bucket, census.four_bytes(key, np.maximum.reduceat(aligned, firsts) | many.astype(np.uint8) << 1))
 
-    def hits(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(rows: np.ndarray) -> tuple[np.ndarray, None]:
         key, flags = census.key_and_flags(rows)
         order, firsts = census.runs(key)
         n = census.sizes(firsts, len(key))
         seen = np.bitwise_or.reduceat(flags[order], firsts)
-        hit = np.repeat((seen & 1 > 0) & ((n > 1) | (seen & 2 > 0)), n)
-        which = order[hit]
-        return which, rows[which]
+        return np.sort(order[np.repeat((seen & 1 > 0) & ((n > 1) | (seen & 2 > 0)), n)]), None
 
     anchored = common.materialize(census.meet(census.ask(chunks, probe), 4, hits), "anchors")
     census.release(chunks)
 
-    def candidates(chunk: census.Chunk, words: Words, said: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows around anchors."""
-        h, at = _anchors(chunk, words, block)
-        none = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if not len(h) or not said:
-            return none
-        known = np.sort(np.concatenate([census.place_of(b, census.key_and_flags(census.unpacked(x, 4))[0]) for b, x in said.items()]))
-        key = census.place_of(census.bucket_of(h, buckets), h & census.KEY_MASK)
-        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    def candidates(chunk: census.Chunk, words: Words, anchors: dict[int, bytes]) -> tuple[np.ndarray, ...]:
+        """(hash, check, start, bucket, order, first of each run) of the windows around anchors, runs in the order of buckets."""
+        h, check, start = _windows(chunk, words, window)
         marks = np.zeros(len(words.doc) + window + 1, np.int64)
-        marks[at[known[place] == key]] = 1
+        if anchors and len(h):
+            at, firsts, bucket, _ = _anchors(chunk, words, block, buckets)
+            holds, _ = census.replied(anchors, bucket)
+            marks[at[np.repeat(holds, census.sizes(firsts, len(at)))]] = 1
         total = np.concatenate([[0], np.cumsum(marks)])
-        wh, check, start = _windows(chunk, words, window)
         near = total[start + window - block + 1] - total[start] > 0
-        return wh[near], check[near], start[near]
+        h, check, start = h[near], check[near], start[near]
+        bucket = census.bucket_of(h, buckets)
+        order, firsts = census.runs(bucket, h, check)
+        return h, check, start, bucket[order][firsts], order, firsts
 
-    def extend(chunk: census.Chunk, said: dict[int, bytes]) -> pa.Table:
+    def extend(chunk: census.Chunk, anchors: dict[int, bytes]) -> pa.Table:
         words = Words(chunk.offsets, chunk.data)
-        h, check, start = candidates(chunk, words, said)
-        empty = pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
+        h, check, start, bucket, order, firsts = candidates(chunk, words, anchors)
         if not len(h):
-            return empty
-        order, firsts = census.runs(h, check)
+            return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
         least = np.minimum.reduceat(chunk.ids[words.doc[start]][order], firsts)
-        h, check = h[order][firsts], check[order][firsts]
-        return pa.Table.from_batches([census.deal(chunk.id, census.bucket_of(h, buckets), _window_rows(h, check, least))])
+        return pa.Table.from_batches([census.deal(chunk.id, bucket, _window_rows(h[order][firsts], check[order][firsts], least))])
 
-    def first_docs(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def later(rows: np.ndarray) -> tuple[np.ndarray, None]:
         doc = _field(rows, 12, 20, "<i8")
         order, firsts = census.runs(_field(rows, 0, 8, "<u8"), _field(rows, 8, 12, "<u4"))
-        n = census.sizes(firsts, len(rows))
-        later = doc[order] > np.repeat(np.minimum.reduceat(doc[order], firsts), n)
-        which = order[later]
-        return which, np.ascontiguousarray(rows[which, :12])
-
-    asked = census.answer(chunks, anchored, extend, "bucket long, chunk long, data binary")
-    repeated = common.materialize(census.meet(asked, 20, first_docs), "repeats")
-    del asked
+        return np.sort(order[doc[order] > np.repeat(np.minimum.reduceat(doc[order], firsts), census.sizes(firsts, len(rows)))]), None
+
+    repeated = common.materialize(census.meet(census.answer(chunks, [anchored], extend, "bucket long, chunk long, data binary"), 20, later), "repeats")
     census.release(chunks)
 
-    def cut(chunk: census.Chunk, said: dict[int, bytes]) -> pa.Table:
+    def cut(chunk: census.Chunk, anchors: dict[int, bytes], repeats: dict[int, bytes]) -> pa.Table:
         words = Words(chunk.offsets, chunk.data)
-        h, check, start = _windows(chunk, words, window)
+        h, _, start, bucket, order, firsts = candidates(chunk, words, anchors)
         again = np.zeros(len(h), bool)
         if len(h):
-            doc = chunk.ids[words.doc[start]]
-            order, firsts = census.runs(h, check)
-            n = census.sizes(firsts, len(h))
-            again[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], firsts), n)
-        if said and len(h):
-            rows = np.concatenate([census.unpacked(x, 12) for x in said.values()])
-            kind = np.dtype([("h", "<u8"), ("c", "<u4")])
-            known = np.sort(np.ascontiguousarray(rows).view(kind).reshape(-1), order=("h", "c"))
-            first = np.searchsorted(known["h"], h)
-            for step in range(int(np.unique(known["h"], return_counts=True)[1].max())):
-                place = np.minimum(first + step, len(known) - 1)
-                again |= (known["h"][place] == h) & (known["c"][place] == check)
+            doc, n = chunk.ids[words.doc[start]][order], census.sizes(firsts, len(h))
+            elsewhere, _ = census.replied(repeats, bucket)
+            again[order] = np.repeat(elsewhere, n) | (doc > np.repeat(np.minimum.reduceat(doc, firsts), n))
         return _without(chunk, words, start[again], window)
 
-    return census.answer(chunks, repeated, cut, SCHEMA)
+    return census.answer(chunks, [anchored, repeated], cut, SCHEMA)
 
 
 def _without(chunk: census.Chunk, words: Words, starts: np.ndarray, window: int) -> pa.Table:
