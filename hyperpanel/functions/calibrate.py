@@ -25,8 +25,18 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def shifted(d: Column) -> Column:
+    return F.transform(F.array(F.array_min(d)), lambda m: F.transform(d, lambda x: x - m))[0]
+
+
 def beta(d: Column, target: float, *, by_weight: bool = False, steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
-    """struct(beta, found) of the distances ``d``."""
+    """struct(beta, found) of the distances ``d``.
+
+    Entropy does not change if all distances are shifted, so it is taken from
+    the smallest on, where the kernel cannot vanish.
+    """
+    if not by_weight:
+        d = shifted(d)
 
     def excess(b: Column) -> Column:
         z = _sum(_kernel(d, b))
@@ -55,7 +65,7 @@ def beta(d: Column, target: float, *, by_weight: bool = False, steps: int = STEP
 def probabilities(d: Column, fit: Column) -> Column:
     """Normalised kernel at the fitted beta; uniform where none was found."""
     uniform = F.transform(d, lambda x: 1.0 / F.size(d))
-    normal = F.transform(F.array(_kernel(d, fit["beta"])), lambda v: F.transform(v, lambda x: x / _sum(v)))[0]
+    normal = F.transform(F.array(_kernel(shifted(d), fit["beta"])), lambda v: F.transform(v, lambda x: x / _sum(v)))[0]
     return F.when(fit["found"], normal).otherwise(uniform)
 
 
@@ -67,6 +77,8 @@ def kernel(d: np.ndarray, target: float, *, valid: np.ndarray | None = None, by_
     """(p, sigma) of rows x neighbours; cells that aren't valid get 0."""
     valid = np.ones_like(d, bool) if valid is None else valid
     rows = len(d)
+    away = d - np.where(valid, d, np.inf).min(axis=1, keepdims=True)
+    d = d if by_weight else away
     b, lo, hi = np.ones(rows), np.full(rows, np.nan), np.full(rows, np.nan)
     open_ = np.arange(rows)
     found = np.zeros(rows, bool)
@@ -85,7 +97,7 @@ def kernel(d: np.ndarray, target: float, *, valid: np.ndarray | None = None, by_
         hi[down] = b[down]
         b[down] = np.where(np.isnan(lo[down]), b[down] / 2, (b[down] + lo[down]) / 2)
         open_ = open_[~done]
-    v = np.where(valid, np.exp(-b[:, None] * np.where(valid, d, 0)), 0.0)
+    v = np.where(valid, np.exp(-b[:, None] * np.where(valid, away, 0)), 0.0)
     even = valid / np.maximum(1, valid.sum(axis=1, keepdims=True))
     p = np.where(found[:, None], v / np.maximum(v.sum(axis=1, keepdims=True), np.finfo(float).tiny), even)
     return p, np.where(found, np.sqrt(1 / (2 * b)), 1.0)

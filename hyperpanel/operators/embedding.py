@@ -95,6 +95,7 @@ def kernel_sums(embedding: DataFrame, weights: DataFrame | None = None) -> DataF
     table = rows.toArrow()
     own = (table.column("id").to_numpy(), _matrix(table, "y"), np.ones(n) if weights is None else table.column("weight").to_numpy())
     every = embedding.sparkSession.sparkContext.broadcast(own)
+    weighted = weights is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, y, w = every.value
@@ -102,7 +103,7 @@ def kernel_sums(embedding: DataFrame, weights: DataFrame | None = None) -> DataF
             if not batch.num_rows:
                 continue
             i, x = batch.column("id").to_numpy(), _matrix(batch, "y")
-            wi = np.ones(len(i)) if weights is None else batch.column("weight").to_numpy()
+            wi = batch.column("weight").to_numpy() if weighted else np.ones(len(i))
             z, f = np.zeros(len(i)), np.zeros_like(x)
             for s in range(0, len(i), 512):
                 gap = x[s : s + 512, None] - y[None]

@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rng
 from ..functions.vec import METRICS
 
 SCHEMA = "i long, j long, rk int, d2 double"
@@ -52,7 +51,7 @@ def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 def _nearest(ids: np.ndarray, a: np.ndarray, all_ids: np.ndarray, b: np.ndarray, k: int, metric: str) -> Iterator[tuple[np.ndarray, ...]]:
     """(i, j, rank, distance) of the k nearest of ``b`` for rows of ``a``; approximate distances choose 2k + 8, exact ones rank."""
     step = max(1, TILE // max(1, len(b)))
-    for s in range(0, len(a), step):
+    for s in range(0, len(a) if len(b) else 0, step):
         own, x = ids[s : s + step], a[s : s + step]
         d = _distances(x, b, metric)
         d[own[:, None] == all_ids[None]] = np.inf
@@ -117,17 +116,20 @@ def knn(points: DataFrame, k: int, metric: str = "l2sq", method: str = "auto") -
 
 def _by_blocks(points: DataFrame, k: int, metric: str, blocks: int) -> DataFrame:
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = points.withColumn("own", block)
+    dealt = points.select("id", "features", block.alias("own"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asking = dealt.withColumn("other", others)
-    asked = dealt.select("id", "features", F.col("own").alias("other"), others.alias("own"))
+    asking = dealt.select("id", "features", "own", others.alias("other"), F.lit(True).alias("asks"))
+    asked = dealt.select("id", "features", others.alias("own"), F.col("own").alias("other"), F.lit(False).alias("asks"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        ids, x = table.column("id").to_numpy(), _matrix(table)
+        return pa.Table.from_batches([_EMPTY, *_rows(_nearest(ids[asks], x[asks], ids[~asks], x[~asks], k, metric))])
+
+    return ranked(asking.unionByName(asked).groupBy("own", "other").applyInArrow(run, SCHEMA), k)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = list(_rows(_nearest(left.column("id").to_numpy(), _matrix(left), right.column("id").to_numpy(), _matrix(right), k, metric))) if left.num_rows and right.num_rows else []
-        return pa.Table.from_batches(out) if out else pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "rk": pa.array([], pa.int32()), "d2": pa.array([], pa.float64())})
 
-    found = asking.groupBy("own", "other").cogroup(asked.groupBy("own", "other")).applyInArrow(run, SCHEMA)
-    return ranked(found, k)
+_EMPTY = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.float64())], names=["i", "j", "rk", "d2"])
 
 
 def ranked(pairs: DataFrame, k: int, order: str = "d2") -> DataFrame:
@@ -139,19 +141,20 @@ def ranked(pairs: DataFrame, k: int, order: str = "d2") -> DataFrame:
 def lsh_knn(points: DataFrame, k: int, *, tables: int = 8, bits: int = 6, seed: int = 0) -> DataFrame:
     """Approximate ``knn``: candidates share a cell of one of ``tables`` random partitions of space; ranks are exact among them."""
     _, width = size_of(points)
-    keys = []
-    for t in range(tables):
-        signs = []
-        for b in range(bits):
-            direction = F.array(*(rng.normal_pair(seed + 1, F.lit((t * bits + b) * width + d))[0] for d in range(width)))
-            signs.append(F.when(F.aggregate(F.zip_with("features", direction, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) > 0, 1 << b).otherwise(0))
-        keys.append(F.struct(F.lit(t).alias("t"), sum(signs[1:], signs[0]).alias("c")))
-    dealt = points.select("id", "features", F.explode(F.array(*keys)).alias("cell"))
+    directions = np.random.Generator(np.random.PCG64(seed)).normal(size=(width, tables * bits))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = (_matrix(batch) @ directions > 0).reshape(batch.num_rows, tables, bits)
+            cell = (side << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
+            order = np.repeat(np.arange(batch.num_rows), tables)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(order), batch.column("features").take(order), pa.array(cell.reshape(-1).astype(np.int64))], names=["id", "features", "cell"])
+
+    dealt = points.select("id", "features").mapInArrow(cells, "id long, features array<double>, cell long")
 
     def run(table: pa.Table) -> pa.Table:
         ids, a = table.column("id").to_numpy(), _matrix(table)
-        out = list(_rows(_nearest(ids, a, ids, a, k, "l2sq")))
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches([_EMPTY, *_rows(_nearest(ids, a, ids, a, k, "l2sq"))])
 
     return ranked(dealt.groupBy("cell").applyInArrow(run, SCHEMA).dropDuplicates(["i", "j"]), k)
 

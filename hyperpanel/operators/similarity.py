@@ -81,18 +81,22 @@ def from_distance_matrix(distances: DataFrame, perplexity: float) -> DataFrame:
 
 
 def row_normalised(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("i")))
+    """Rows sum to one; a row whose weights are all zero stays so."""
+    total = F.sum("w").over(Window.partitionBy("i"))
+    return edges.withColumn("w", F.when(total == 0, 0.0).otherwise(F.col("w") / total))
 
 
 def column_normalised(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("j")))
+    total = F.sum("w").over(Window.partitionBy("j"))
+    return edges.withColumn("w", F.when(total == 0, 0.0).otherwise(F.col("w") / total))
 
 
 def row_cdf(edges: DataFrame) -> DataFrame:
     """i, j, w, lo, hi: the share of the row's mass before and up to each entry, by j; the last one closes at 1."""
     order = Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     last = Window.partitionBy("i")
-    run = edges.withColumn("hi", F.sum("w").over(order) / F.sum("w").over(last))
+    edges = edges.withColumn("__total", F.sum("w").over(last)).filter(F.col("__total") > 0)
+    run = edges.withColumn("hi", F.sum("w").over(order) / F.col("__total"))
     run = run.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.partitionBy("i").orderBy("j")))
     return run.withColumn("hi", F.when(F.col("j") == F.max("j").over(last), 1.0).otherwise(F.col("hi"))).select("i", "j", "w", "lo", "hi")
 
@@ -101,7 +105,7 @@ def walk_weights(points: DataFrame, k: int = 30) -> DataFrame:
     """Edges of the random-walk graph: exp(-x^2) of squared distances over twice their deviation in the row, normalised."""
     row = Window.partitionBy("i")
     graph = nn.knn(points, k).withColumn("s", F.stddev_pop("d2").over(row))
-    x = F.col("d2") / F.when(F.col("s") == 0, 0.5).otherwise(2 * F.col("s"))
+    x = F.col("d2") / F.when(F.col("s") == 0, 1.0).otherwise(2 * F.col("s"))
     return row_normalised(graph.select("i", "j", F.exp(-x * x).alias("w")))
 
 
