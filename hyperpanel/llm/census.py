@@ -121,6 +121,7 @@ def ask(source: DataFrame, entries: Callable[[dict], Iterator[pa.RecordBatch]])
         for batch in batches:
             for k in range(batch.num_rows):
                 yield from entries(batch.slice(k, 1).to_pylist()[0])
+            common.trim()
 
     return source.mapInArrow(run, "bucket long, chunk long, data binary")
 
@@ -173,7 +174,9 @@ def answer(chunks: DataFrame, replies: list[DataFrame], use: Callable[..., pa.Ta
         if got.num_rows:
             for k, bucket, data in zip(*(got.column(c).to_pylist() for c in ("round", "bucket", "data")), strict=True):
                 said[k][bucket] = data
-        return pa.concat_tables([use(Chunk(row), *said) for row in own.to_pylist()])
+        out = pa.concat_tables([use(Chunk(row), *said) for row in own.to_pylist()])
+        common.trim()
+        return out
 
     return chunks.groupBy("chunk").cogroup(tagged.groupBy("chunk")).applyInArrow(run, schema)
 

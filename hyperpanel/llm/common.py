@@ -6,6 +6,8 @@ driver and executors share, so a lost executor never loses them.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -93,6 +95,14 @@ def row_slices(batch: pa.RecordBatch, text_index: int, most_bytes: int) -> Itera
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:

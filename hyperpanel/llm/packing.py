@@ -106,6 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = LENGTH,
             if tail:
                 out.append((doc_id, whole * length, n - whole * length, n, base + bins[placed], at[placed], raw[4 * whole * length :]))
                 placed += 1
+        common.trim()
         result = pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
         return result.astype({"doc_id": "Int64"} | {c: "int64" for c in ("start", "length", "doc_tokens", "sequence_id", "offset")})
 

@@ -209,6 +209,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, *, end_id: int
                 for k, ids in encode_column(tokenizer, batch.column(1), end_id):
                     if part := writer.add(doc_ids[k], ids):
                         yield part
+                common.trim()
             yield writer.close()
 
         n_bytes = common.write_file(uri, parts())

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept per worker; above it the table starts anew, which bounds memory.
-MOST_UNITS = 600_000
+MOST_UNITS = 500_000
 #: Fixed value: the pattern by which byte-level BPE cuts texts.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of long standing, on which all Unicode tables agree.
@@ -50,10 +50,10 @@ class UnitTable:
         self.clear()
 
     def clear(self) -> None:
-        #: A unit's place; -1: a text is not to be cut before it.
+        #: A unit's place; -1: a text is not to be cut before it. Plain words are units of their own, also where only met before a comma.
         self.index: dict[str, int] = {}
-        #: Ids of each piece as raw unsigned 32-bit numbers: small, and nothing for the garbage collector to walk.
-        self.pieces: dict[str, bytes] = {}
+        #: Raw ids of pieces that are no words: a few marks.
+        self.marks: dict[str, bytes] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
@@ -61,11 +61,8 @@ class UnitTable:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            ids = self.pieces[piece] = array("I", [t.id for t in tokens]).tobytes()
-        return ids
+        tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def one(self, unit: str) -> bytes:
         """Raw ids of a short text, by its pieces."""
@@ -75,21 +72,40 @@ class UnitTable:
 
     def learn(self, units: list[str]) -> np.ndarray:
         """Places of new units."""
-        at, flat, places = len(self.starts) - 1, [], []
+        index, plain, marks = self.index, self.plain, self.marks
+        base = len(self.starts) - 1
+        flat: list[bytes] = []
+        places = []
+
+        def add(unit: str, ids: bytes) -> int:
+            at = index[unit] = base + len(flat)
+            flat.append(ids)
+            return at
+
+        def word(unit: str) -> bytes:
+            at = index.get(unit)
+            if at is None:
+                at = add(unit, self.piece(" " + unit))
+            if at >= base:
+                return flat[at - base]
+            return self.ids[self.starts[at] : self.starts[at + 1]].tobytes()
+
         for unit in units:
-            if not unit or unit[0].isspace():
+            if unit in index:  # met as the word of another unit
+                places.append(index[unit])
+            elif not unit or unit[0].isspace():
+                index[unit] = -1
                 places.append(-1)
-                continue
-            if unit.isalpha() and self.plain(unit):
-                ids = self.piece(" " + unit)
-            elif unit[-1] in ".," and unit[:-1].isalpha() and self.plain(unit):
-                ids = self.piece(" " + unit[:-1]) + self.piece(unit[-1])
+            elif unit.isalpha() and plain(unit):
+                places.append(add(unit, self.piece(" " + unit)))
+            elif unit[-1] in ".," and unit[:-1].isalpha() and plain(unit):
+                mark = marks.get(unit[-1])
+                if mark is None:
+                    mark = marks[unit[-1]] = self.piece(unit[-1])
+                ids = word(unit[:-1]) + mark
+                places.append(add(unit, ids))
             else:
-                ids = self.one(" " + unit)
-            flat.append(ids)
-            places.append(at)
-            at += 1
-        self.index.update(zip(units, places, strict=True))
+                places.append(add(unit, self.one(" " + unit)))
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(flat), np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array([len(x) // 4 for x in flat], np.int64))])
         return np.array(places, np.int64)
@@ -141,12 +157,28 @@ def unit_table(path: str) -> UnitTable:
 
 
 def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
-    """Yield (row, ids with the end id) of a string column."""
+    """Yield (row, ids with the end id) of a string column; a text that stands in it several times is encoded once."""
     table = unit_table(path)
+    column = column.fill_null("")
+    code = pc.dictionary_encode(column).indices.to_numpy()
+    first = np.zeros(len(code), bool)
+    first[np.unique(code, return_index=True)[1]] = True
+    again = np.bincount(code) > 1 if len(code) else first
+    kept: dict[int, np.ndarray] = {}
     for start in range(0, len(column), at_once):
-        ids, bounds = table.encode(column.slice(start, at_once))
-        for k in range(len(bounds) - 1):
-            yield start + k, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
+        rows = np.arange(start, min(start + at_once, len(column)))
+        new = rows[first[rows]]
+        ids, bounds = table.encode(column.take(pa.array(new)))
+        k = 0
+        for row in rows:
+            if first[row]:
+                own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
+                k += 1
+                if again[code[row]]:
+                    kept[code[row]] = own
+            else:
+                own = kept[code[row]]
+            yield int(row), own
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
