@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,28 +88,34 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = LENGTH,
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    def sequences(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(crc=[zlib.crc32(x) for x in frame.ids]).sort_values(["doc_id", "crc"], kind="stable")
-        n_tokens = np.fromiter((len(x) // 4 for x in frame.ids), np.int64, len(frame))
+    def sequences(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.select(["doc_id", "ids"]).combine_chunks()
+        doc, null = common.long_buffers(table.column("doc_id").chunk(0))
+        crc = np.fromiter((zlib.crc32(x.as_buffer()) for x in table.column("ids").chunk(0)), np.int64, table.num_rows)
+        table = table.take(pa.array(np.lexsort((crc, doc, null)))).combine_chunks()
+        ids = table.column("ids").chunk(0)
+        raw = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        n_tokens = np.diff(raw).astype(np.int64) // 4
         full, rest = np.divmod(n_tokens, length)
-        has_rest = rest > 0
-        bins, at = first_fit_decreasing(rest[has_rest], length)
+        bins, at = first_fit_decreasing(rest[rest > 0], length)
         n_bins = int(bins.max()) + 1 if len(bins) else 0
-        out: list[tuple] = []
-        base, placed, own = int(key[0]) << 32, 0, n_bins
-        for doc_id, raw, n, whole, tail in zip(frame.doc_id, frame.ids, n_tokens, full, has_rest, strict=True):
-            doc_id = None if pd.isna(doc_id) else int(doc_id)
-            for k in range(whole):
-                out.append((doc_id, k * length, length, n, base + own, 0, raw[4 * k * length : 4 * (k + 1) * length]))
-                own += 1
-            if tail:
-                out.append((doc_id, whole * length, n - whole * length, n, base + bins[placed], at[placed], raw[4 * whole * length :]))
-                placed += 1
+        pieces = full + (rest > 0)
+        row = np.repeat(np.arange(len(ids)), pieces)
+        start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
+        size = np.minimum(length, n_tokens[row] - start)
+        whole = size == length
+        sequence, offset = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        sequence[whole] = n_bins + np.arange(int(whole.sum()))
+        sequence[~whole], offset[~whole] = bins, at
+        sequence += key[0].as_py() << 32
+        # the pieces follow one another in the gathered ids: only their bounds are new
+        bounds = pa.py_buffer((raw[0] + 4 * np.concatenate([[0], np.cumsum(size)])).astype(np.int32).tobytes())
+        cut = pa.Array.from_buffers(pa.binary(), len(row), [None, bounds, ids.buffers()[2]])
         common.trim()
-        result = pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
-        return result.astype({"doc_id": "Int64"} | {c: "int64" for c in ("start", "length", "doc_tokens", "sequence_id", "offset")})
+        columns = {"start": start, "length": size, "doc_tokens": n_tokens[row], "sequence_id": sequence, "offset": offset}
+        return pa.table({"doc_id": table.column("doc_id").take(pa.array(row))} | {c: pa.array(v, pa.int64()) for c, v in columns.items()} | {"ids": cut})
 
-    return rows.mapInArrow(encode, "doc_id long, grp long, ids binary").groupBy("grp").applyInPandas(sequences, PIECES)
+    return rows.mapInArrow(encode, "doc_id long, grp long, ids binary").groupBy("grp").applyInArrow(sequences, PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
