@@ -50,6 +50,8 @@ TERMS, CANDIDATES, VOTERS, SAMPLE = 2048, 256, 96, 60_000
 PATTERNS = {"shouts": 0.5, "marks": 0.02, "symbols": 0.05}
 #: Share of toxic rows among the training rows where a mined voter fires.
 PRECISION = 0.8
+#: Log-odds of a seed word, used only where no labelled row is given.
+SEED_WEIGHT = 4.0
 SLICE = 1 << 20
 
 
@@ -315,8 +317,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     width = len(terms) + len(PATTERNS)
     if not got.num_rows:
         weights = np.zeros(width + 1)
+        weights[np.searchsorted(terms, np.unique(seed))] = SEED_WEIGHT
         weights[columns] = np.log(model.on_toxic / model.on_clean)
-        weights[-1] = -4.0
+        weights[-1] = -SEED_WEIGHT
         return Classifier(terms, weights, model)
     lists = got.column("fired").combine_chunks()
     owner = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()))
