@@ -245,3 +245,81 @@ def signed_image(edges: DataFrame) -> DataFrame:
     level = F.floor(F.abs("w") / F.col("most") * 255).cast("int")
     zero = F.lit(0)
     return edges.crossJoin(F.broadcast(most)).select(F.col("i").alias("row"), F.col("j").alias("col"), F.when(F.col("w") < 0, level).otherwise(zero).alias("r"), F.when(F.col("w") > 0, level).otherwise(zero).alias("g"), zero.alias("b"))
+
+
+# --- whole sessions -----------------------------------------------------------
+
+
+def build(points: DataFrame, parameters: hsne.Parameters = hsne.Parameters(), scales: int | None = None, most_top: int | None = None) -> hsne.Hierarchy:
+    """A hierarchy of ``scales`` scales, or with scales added until the top has at most ``most_top`` landmarks (or stops shrinking)."""
+    h = hsne.from_points(points, parameters)
+    size = points.count()
+    while (scales is not None and len(h.scales) < scales) or (scales is None and size > (most_top or 3000)):
+        taller = hsne.add_scale(h)
+        new = taller.scales[-1].landmarks.count()
+        if not 0 < new < size:
+            break
+        h, size = taller, new
+    return h
+
+
+def view_of(h: hsne.Hierarchy, scale: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points: id; edges: i, j, w; weights: id, weight) of a whole scale, the top one if none is named."""
+    own = h.scales[h.top if scale is None else scale]
+    return own.landmarks.select(F.col("lm").alias("id")), own.transition, own.landmarks.select(F.col("lm").alias("id"), "weight")
+
+
+def embed_view(h: hsne.Hierarchy, scale: int | None = None, iterations: int = 500) -> DataFrame:
+    """id, y of a scale, with the schedule that suits its size; short rows get random targets first."""
+    from . import embedding as E
+    from .similarity import symmetrised
+
+    ids, edges, _ = view_of(h, scale)
+    p = E.with_schedule(E.Parameters(), ids.count())
+    return E.embed(E.initial(ids, p), symmetrised(E.repaired_rows(edges, ids)), p, iterations)
+
+
+def coupled(sides: dict[str, tuple[DataFrame, DataFrame]], links: DataFrame, iterations: int = 500, dims: int = 1):
+    """Yield (iteration, {side: (ids, y)}) of two sides 'a' and 'b' that are embedded together.
+
+    Each side is (points: id; edges). After every optimiser step each side moves
+    towards the weighted mean of its partners (links: a, b, n), both relative to
+    their own extent, with a weight that falls to zero. For sizes of one view.
+    """
+    import numpy as np
+
+    from . import embedding as E
+    from .similarity import symmetrised
+
+    p = E.Parameters(dims=dims)
+    runs = {}
+    for name, (ids, edges) in sides.items():
+        state, i, j, w, _ = E._local(E.initial(ids.select("id"), p), symmetrised(edges), None)
+        runs[name] = [state, i, j, w, np.zeros(len(state.ids))]
+    table = links.select("a", "b", "n").toArrow()
+    at = {s: np.searchsorted(runs[s][0].ids, table.column(s).to_numpy()) for s in ("a", "b")}
+    n = table.column("n").to_numpy().astype(float)
+
+    def unit(y: np.ndarray) -> tuple[np.ndarray, float]:
+        span = max(float(y.max() - y.min()), 1e-12)
+        return (y - y.min()) / span, span
+
+    for t in range(iterations):
+        mult = 1 - t / iterations
+        for run in runs.values():
+            run[0] = E.iterate(run[0], *run[1:4], p)
+        for slave, master in (("a", "b"), ("b", "a")):
+            state = runs[slave][0]
+            own, span = unit(state.y[:, 0])
+            other, _ = unit(runs[master][0].y[:, 0])
+            total = np.bincount(at[slave], n, len(own))
+            aim = np.where(total > 0, np.bincount(at[slave], n * other[at[master]], len(own)) / np.maximum(total, 1e-12), own)
+            runs[slave][4] = 0.8 * runs[slave][4] + (aim - own) * 0.02 * mult
+            state.y[:, 0] += runs[slave][4] * span
+        yield t + 1, {name: (run[0].ids, run[0].y) for name, run in runs.items()}
+
+
+def influence_table(h: hsne.Hierarchy, scale: int, selection: DataFrame, voxels: DataFrame) -> DataFrame:
+    """x, y, z, aoi of a volume's points (id, x, y, z), for export; 0 where the selection has no influence."""
+    area = hsne.area_of_influence(h, scale, selection)
+    return voxels.join(area, "id", "left").select("x", "y", "z", F.coalesce("p", F.lit(0.0)).alias("aoi"))

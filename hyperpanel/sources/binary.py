@@ -196,3 +196,28 @@ def pixels_as_points(image: np.ndarray, keep: Callable[[np.ndarray], np.ndarray]
     """(id, [row, column]) of the pixels that ``keep`` (a test of the colours) chooses."""
     rows, columns = np.nonzero(keep(image))
     return [(k, [float(r), float(c)]) for k, (r, c) in enumerate(zip(rows, columns, strict=True))]
+
+
+def read_named_matrix(spark: SparkSession, data: str, names: str, n: int, dims: int) -> DataFrame:
+    """POINTS with path and label: a float32 matrix beside a CSV with the header 'path,label', row by row."""
+    rows = spark.read.csv(names, header=True).select(F.monotonically_increasing_id().alias("at"), "path", "label")
+    rows = rows.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("id"), "path", "label")
+    return read_matrix(spark, data, n, dims).join(rows, "id")
+
+
+def read_labelled_volume(spark: SparkSession, path: str, labels: str) -> tuple[DataFrame, DataFrame]:
+    """(VOLUME, dims: dim, path, label): a volume and a CSV that names its dimensions in order."""
+    rows = spark.read.csv(labels, header=True).select(F.monotonically_increasing_id().alias("at"), "path", "label")
+    return read_volume(spark, path), rows.select((F.row_number().over(Window.orderBy("at")) - 1).cast("int").alias("dim"), "path", "label")
+
+
+def read_image_list(spark: SparkSession, listing: str, data: str) -> DataFrame:
+    """POINTS with path: a list of paths (its first line is their number) and a float32 matrix of as many rows."""
+    lines = spark.read.text(listing).select(F.monotonically_increasing_id().alias("at"), F.trim("value").alias("path")).filter("path <> ''")
+    numbered = lines.select((F.row_number().over(Window.orderBy("at")) - 2).cast("long").alias("id"), "path")
+    n = int(numbered.filter("id = -1").first().path)
+
+    def decode(raw: bytes) -> Iterator[pa.RecordBatch]:
+        yield _points(np.arange(n), np.frombuffer(raw, "<f4").reshape(n, -1))
+
+    return _decoded(spark, data, decode, POINTS).join(numbered.filter(F.col("id").between(0, n - 1)), "id")

@@ -223,3 +223,36 @@ def test_progressive_run(spark):
     joint = similarity.joint(pts, similarity.Parameters(perplexity=4))
     seen = [(t, len(f)) for t, f in progressive.generate(embedding.initial(pts, embedding.Parameters()), joint, iterations=20, every=10)]
     assert seen == [(10, 40), (20, 40)]
+
+
+def test_named_sources(spark, tmp_path):
+    m = np.arange(6, dtype="<f4").reshape(2, 3)
+    (tmp_path / "m").write_bytes(m.tobytes())
+    (tmp_path / "n.csv").write_text("path,label\na.png,x\nb.png,y\n")
+    (tmp_path / "l").write_text("2\na.png\nb.png\n")
+    assert [(r.path, r.label) for r in binary.read_named_matrix(spark, str(tmp_path / "m"), str(tmp_path / "n.csv"), 2, 3).orderBy("id").collect()] == [("a.png", "x"), ("b.png", "y")]
+    assert [(r.path, r.features) for r in binary.read_image_list(spark, str(tmp_path / "l"), str(tmp_path / "m")).orderBy("id").collect()] == [("a.png", [0.0, 1.0, 2.0]), ("b.png", [3.0, 4.0, 5.0])]
+
+
+def test_coupled_run_draws_partners_together(spark):
+    from hyperpanel.operators import session
+
+    ring = edges(spark, [(k, (k + 1) % 12, 1) for k in range(12)])
+    ids = spark.range(12)
+    links = spark.createDataFrame([(k, k, 1) for k in range(12)], "a long, b long, n long")
+    last = None
+    for t, y in session.coupled({"a": (ids, ring), "b": (ids, ring)}, links, iterations=30):
+        last = t, y
+    assert last[0] == 30 and len(last[1]["a"][1]) == 12
+
+
+def test_cached_table_is_read_back(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert tables.cached(spark, str(tmp_path), {"k": 1}, build).count() == 3
+    assert len(calls) == 1
