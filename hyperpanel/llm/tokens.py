@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept per worker; above it the table starts anew, which bounds memory.
-MOST_UNITS = 1_000_000
+MOST_UNITS = 500_000
 #: Fixed value: the pattern by which byte-level BPE cuts texts.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of long standing, on which all Unicode tables agree.
@@ -52,7 +52,7 @@ class UnitTable:
     def clear(self) -> None:
         #: A unit's place; -1: a text is not to be cut before it. Plain words are units of their own, also where only met before a comma.
         self.index: dict[str, int] = {}
-        #: Raw ids of pieces that are no words: a few marks.
+        #: Raw ids of other pieces: marks, and words that open a line.
         self.marks: dict[str, bytes] = {}
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
@@ -72,7 +72,7 @@ class UnitTable:
 
     def learn(self, units: list[str]) -> np.ndarray:
         """Places of new units."""
-        index, plain, marks = self.index, self.plain, self.marks
+        index, plain, marks, tokenize, space = self.index, self.plain, self.marks, self.library.model.tokenize, self.letters[32]
         base = len(self.starts) - 1
         flat: list[bytes] = []
         places = []
@@ -82,30 +82,41 @@ class UnitTable:
             flat.append(ids)
             return at
 
+        def new_word(unit: str) -> bytes:
+            if unit.isascii():  # letters that stand for themselves
+                return array("I", [t.id for t in tokenize(space + unit)]).tobytes()
+            return self.piece(" " + unit)
+
         def word(unit: str) -> bytes:
             at = index.get(unit)
             if at is None:
-                at = add(unit, self.piece(" " + unit))
+                at = add(unit, new_word(unit))
             if at >= base:
                 return flat[at - base]
             return self.ids[self.starts[at] : self.starts[at + 1]].tobytes()
 
+        def mark(piece: str) -> bytes:
+            ids = marks.get(piece)
+            if ids is None:
+                ids = marks[piece] = self.piece(piece)
+            return ids
+
         for unit in units:
             if unit in index:  # met as the word of another unit
                 places.append(index[unit])
             elif not unit or unit[0].isspace():
                 index[unit] = -1
                 places.append(-1)
-            elif unit.isalpha() and plain(unit):
-                places.append(add(unit, self.piece(" " + unit)))
-            elif unit[-1] in ".," and unit[:-1].isalpha() and plain(unit):
-                mark = marks.get(unit[-1])
-                if mark is None:
-                    mark = marks[unit[-1]] = self.piece(unit[-1])
-                ids = word(unit[:-1]) + mark
+            elif not plain(unit):
+                places.append(add(unit, self.one(" " + unit)))
+            elif unit.isalpha():
+                places.append(add(unit, new_word(unit)))
+            elif unit[-1] in ".," and unit[:-1].isalpha():
+                ids = word(unit[:-1]) + mark(unit[-1])
                 places.append(add(unit, ids))
             else:
-                places.append(add(unit, self.one(" " + unit)))
+                ids = b"".join([word(x[1:]) if x[0] == " " and x[1:].isalpha() else mark(x) for x in self.find(" " + unit)])
+                places.append(add(unit, ids))
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(flat), np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array([len(x) // 4 for x in flat], np.int64))])
         return np.array(places, np.int64)
