@@ -23,7 +23,7 @@ from . import tree as trees
 from .field import field_repulsion
 from .knn import MOST_CELLS, _matrix
 from .similarity import Parameters as GraphParameters
-from .similarity import conditional, joint, symmetrised, walk_weights
+from .similarity import joint, row_normalised, symmetrised, walk_weights
 
 #: Points up to which a whole run is one task.
 ONE_TASK = 20_000
@@ -292,8 +292,6 @@ def random_walk_tsne(points: DataFrame, landmarks: int = 100, neighbours: int =
     chosen = points.select("id").withColumn("u", rng.uniform(seed, F.col("id"))).orderBy("u", "id").limit(landmarks).select("id")
     ends = graphs.absorbing_walks(edges, chosen, chosen, walks, length, seed + 1, other_than_start=True).filter("at IS NOT NULL")
     counts = ends.groupBy(F.col("start").alias("i"), F.col("at").alias("j")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    from .similarity import row_normalised
-
     return embed(initial(chosen, p), symmetrised(row_normalised(counts)), p, iterations)
 
 

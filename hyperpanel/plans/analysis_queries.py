@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import rng, vec
+from ..functions import rng
 from ..operators import analysis as A
 from ..operators import embedding as E
 from ..operators import hsne as H
-from ..operators import knn as N
 from ..operators import session as S
 from ..operators import similarity as M
 from ..schema import to_cells
-from .graph_queries import _JAC, _MEMBER, membership
+from .graph_queries import _MEMBER, membership
 from .panel_queries import r
 from .registry import CELLS, DRAWING, PTS, drawing, edges, edges_sql, knn_sql, layout, panel, query, read, rounded, transition_sql, transition
 

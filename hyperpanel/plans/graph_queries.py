@@ -177,8 +177,6 @@ def sparse_stats(spark, d):
     return rounded(stats(edges(spark, d), panel(spark, d).count()), "sparsity", "mean_length", "stddev_length")
 
 
-_SPARSE = "edges AS (SELECT o_custkey AS i, l_suppkey + 1000000 AS j, 1.0 AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity = 1 AND l_shipdate < TIMESTAMP '1993-01-01')"
-
 
 @query("components", f"""WITH RECURSIVE {edges_sql(2)}, n AS (SELECT i, j FROM edges WHERE w > 0.5 UNION SELECT j, i FROM edges WHERE w > 0.5),
   reach AS (SELECT id AS node, id AS other FROM pts UNION SELECT reach.node, n.j FROM reach JOIN n ON reach.other = n.i),

@@ -10,8 +10,6 @@ from ..operators import session as S
 from ..schema import is_set, to_cells
 from .registry import CELLS, DRAWING, PTS, drawing, layout, panel, query, read, rounded
 
-R = "round({}, 6) + 0.0 AS {}"
-
 
 def r(expression: str, name: str, digits: int = 6) -> str:
     return f"round({expression}, {digits}) + 0.0 AS {name}"
@@ -93,7 +91,6 @@ def zscore(spark, d):
     return rounded(to_cells(P.zscore(panel(spark, d))), "x")
 
 
-_CONSTANT = CELLS.replace("CAST(unnest(embedding) AS DOUBLE) AS x", "CASE WHEN generate_subscripts(embedding, 1) = 2 THEN 4.0 ELSE CAST(unnest(embedding) AS DOUBLE) END AS x")
 _BOX = "min(x) OVER (PARTITION BY dim) AS lo, max(x) OVER (PARTITION BY dim) AS hi"
 
 
@@ -174,8 +171,6 @@ def text_counts(spark, d):
 
 # --- functions --------------------------------------------------------------
 
-_F = "list_sum(list_transform(f, lambda v: {}))"
-
 
 @query("l2_norm", f"WITH {PTS}, n AS (SELECT id, f, sqrt(list_sum(list_transform(f, lambda v: v * v))) AS n FROM pts) SELECT id, CAST(generate_subscripts(f, 1) - 1 AS INT) AS dim, round(unnest(f) / n, 6) + 0.0 AS x FROM n")
 def l2_norm(spark, d):
