@@ -46,8 +46,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2,048 tokens."""
-    return packing.digest(packing.pack(docs, public_vocabulary(), end_id=1))
+    """Pieces of sequences of 2,048 tokens; the encoder's table is small, as the workers hold what earlier stages left."""
+    return packing.digest(packing.pack(docs, public_vocabulary(), end_id=1, most_units=250_000))
 
 
 STAGES = [

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encode_column
+from .tokens import MOST_UNITS, encode_column
 
 LENGTH = 2048
 GROUP_DOCS = 1024
@@ -70,18 +70,18 @@ def first_fit_decreasing(lengths: np.ndarray, room: int = LENGTH) -> tuple[np.nd
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents with their ids, sequence and offset there (``PIECES``)."""
+def pack(docs: DataFrame, tokenizer: str, *, end_id: int, length: int = LENGTH, group_docs: int = GROUP_DOCS, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", most_units: int = MOST_UNITS) -> DataFrame:
+    """Pieces of all documents with their ids, sequence and offset there (``PIECES``); ``most_units`` bounds the encoder's table in each worker."""
     rows = common.id_and_text(docs, id_col, text_col)
     groups = max(1, -(-rows.count() // group_docs))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"doc_id": pa.int64(), "grp": pa.int64(), "ids": pa.binary()}
         for whole in batches:
-            for batch in common.row_slices(whole, 1, 4 << 20):
+            for batch in common.row_slices(whole, 1, 8 << 20):
                 doc_ids = batch.column(0).to_pylist()
                 out: list[tuple] = []
-                for k, ids in encode_column(tokenizer, batch.column(1), end_id):
+                for k, ids in encode_column(tokenizer, batch.column(1), end_id, most=most_units):
                     raw = ids.astype("<u4").tobytes()
                     mixed = zlib.crc32(f"{seed} {doc_ids[k]} {len(ids)} {zlib.crc32(raw)}".encode())
                     out.append((doc_ids[k], mixed % groups, raw))

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units kept per worker; above it the table starts anew, which bounds memory.
-MOST_UNITS = 500_000
+#: Units kept per worker (some 200 bytes each); above it the table starts anew, which bounds memory.
+MOST_UNITS = 800_000
 #: Fixed value: the pattern by which byte-level BPE cuts texts.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of long standing, on which all Unicode tables agree.
@@ -38,10 +38,11 @@ def byte_letters() -> str:
 class UnitTable:
     """Ids of the units met so far, as one array with the start of each unit."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_UNITS):
         import regex
         from tokenizers import Tokenizer
 
+        self.most = most
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         pre = str(self.library.pre_tokenizer)
@@ -128,7 +129,7 @@ class UnitTable:
         n = len(column)
         if not self.by_unit:
             return _joined([np.array(self.whole(t), np.uint32) for t in column.to_pylist()])
-        if len(self.index) > MOST_UNITS:
+        if len(self.index) > self.most:
             self.clear()
         cut = pc.split_pattern(column, " ")
         bounds = cut.offsets.to_numpy().astype(np.int64)
@@ -161,15 +162,15 @@ def _joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=2)
-def unit_table(path: str) -> UnitTable:
+def unit_table(path: str, most: int = MOST_UNITS) -> UnitTable:
     """One table per worker process and tokenizer file."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return UnitTable(path)
+    return UnitTable(path, most)
 
 
-def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
+def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 4096, most: int = MOST_UNITS) -> Iterator[tuple[int, np.ndarray]]:
     """Yield (row, ids with the end id) of a string column; a text that stands in it several times is encoded once."""
-    table = unit_table(path)
+    table = unit_table(path, most)
     column = column.fill_null("")
     code = pc.dictionary_encode(column).indices.to_numpy()
     first = np.zeros(len(code), bool)
