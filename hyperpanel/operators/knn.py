@@ -4,8 +4,8 @@
 bound), every task ranks its points against one numpy matrix; beyond it, points
 are dealt into blocks and each pair of blocks is ranked by one task, whose
 results are merged, so no task ever holds more than two blocks. ``lsh_knn``
-finds candidates by random projections and ranks these exactly; at very large
-sizes it is the one to use.
+finds candidates by random projections, as many as a stated recall needs on the
+points at hand, and ranks these exactly; at very large sizes it is the one to use.
 
 Ties are broken by the smaller id, and a point is never its own neighbour.
 """
@@ -27,6 +27,8 @@ MOST_CELLS = 8_000_000
 BLOCK_CELLS = 2_000_000
 #: Cells of a distance matrix that a task holds.
 TILE = 1 << 22
+#: Points whose exact neighbours decide how many cells ``lsh_knn`` asks.
+SAMPLE = 256
 
 
 def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -138,23 +140,97 @@ def ranked(pairs: DataFrame, k: int, order: str = "d2") -> DataFrame:
     return pairs.withColumn("rk", F.row_number().over(near)).filter(F.col("rk") <= k).select("i", "j", "rk", "d2")
 
 
-def lsh_knn(points: DataFrame, k: int, *, tables: int = 8, bits: int = 6, seed: int = 0) -> DataFrame:
-    """Approximate ``knn``: candidates share a cell of one of ``tables`` random partitions of space; ranks are exact among them."""
+def _flips(side: np.ndarray, bits: int) -> np.ndarray:
+    """For rows of ``side`` (row, table, bit: distances to the planes), table << bits | planes to cross, nearest cells first; own cells lead."""
+    crossed = np.arange(1 << bits)[:, None] >> np.arange(bits) & 1
+    far = np.abs(side) @ crossed.T
+    return np.argsort(far.reshape(len(side), -1), axis=1, kind="stable")
+
+
+def _cells(side: np.ndarray, bits: int) -> np.ndarray:
+    """table << bits | cell of every row and table."""
+    return ((side > 0) << np.arange(bits)).sum(2) + (np.arange(side.shape[1]) << bits)
+
+
+def probes_needed(points: DataFrame, k: int, directions: np.ndarray, tables: int, bits: int, recall: float) -> int:
+    """Cells that a point has to ask for ``recall`` of its ``k`` nearest: exact neighbours of SAMPLE points decide, less two standard errors."""
+    most = tables << bits
+    total = points.count()
+    sample = points.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    if not sample.num_rows:
+        return tables
+    ids, x = sample.column("id").to_numpy(), _matrix(sample)
+    asked = points.sparkSession.sparkContext.broadcast((ids, x))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, a = asked.value
+        for batch in batches:
+            if batch.num_rows:
+                b = _matrix(batch)
+                cells = _cells((b @ directions).reshape(len(b), tables, bits), bits)
+                place = {v: p for p, v in enumerate(batch.column("id").to_pylist())}
+                for i, j, rank, d in _nearest(own, a, batch.column("id").to_numpy(), b, k, "l2sq"):
+                    at = cells[[place[v] for v in j.tolist()]] if len(j) else cells[:0]
+                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(rank.astype(np.int32)), pa.array(d), pa.array(list(at), pa.list_(pa.int64()))], names=["i", "j", "rk", "d2", "cells"])
+
+    best = Window.partitionBy("i").orderBy("d2", "j")
+    found = points.select("id", "features").mapInArrow(near, SCHEMA + ", cells array<long>").withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= k).select("i", "cells").toArrow()
+    if not found.num_rows:
+        return tables
+    side = (x @ directions).reshape(len(x), tables, bits)
+    mine, of = _cells(side, bits), {v: p for p, v in enumerate(ids.tolist())}
+    row = np.array([of[v] for v in found.column("i").to_pylist()])
+    theirs = _matrix(found, "cells").astype(np.int64)
+    rank = np.empty(len(row), np.int64)
+    step = max(1, TILE // most)
+    for s in range(0, len(x), step):
+        order = _flips(side[s : s + step], bits)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(most), order.shape), 1)
+        here = (row >= s) & (row < s + step)
+        crossed = (theirs[here] ^ mine[row[here]]) + (np.arange(tables) << bits)
+        rank[here] = place[(row[here] - s)[:, None], crossed].min(1)
+    each = np.bincount(row, minlength=len(x))
+    for n in np.unique(np.maximum(rank + 1, tables)):
+        share = np.bincount(row, rank < n, len(x))[each > 0] / each[each > 0]
+        doubt = 0.0 if total <= len(x) else 2 * share.std() / np.sqrt(len(share))
+        if share.mean() - doubt >= recall:
+            return int(n)
+    return most
+
+
+def lsh_knn(points: DataFrame, k: int, *, tables: int = 8, bits: int = 6, seed: int = 0, recall: float = 0.9) -> DataFrame:
+    """Approximate ``knn`` that finds ``recall`` of the true neighbours.
+
+    Points lie in one cell of each of ``tables`` random partitions of space and
+    ask their own cells and then those across the nearest planes, as many as
+    :func:`probes_needed` measures on these points; ranks are exact among the
+    candidates. Where all cells are needed, the result is that of ``knn``.
+    """
+    if not 0 <= recall <= 1:
+        raise ValueError("recall lies between 0 and 1")
     _, width = size_of(points)
     directions = np.random.Generator(np.random.PCG64(seed)).normal(size=(width, tables * bits))
+    probes = probes_needed(points, k, directions, tables, bits, recall)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            side = (_matrix(batch) @ directions > 0).reshape(batch.num_rows, tables, bits)
-            cell = (side << np.arange(bits)).sum(2) + (np.arange(tables) << bits)
-            order = np.repeat(np.arange(batch.num_rows), tables)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(order), batch.column("features").take(order), pa.array(cell.reshape(-1).astype(np.int64))], names=["id", "features", "cell"])
-
-    dealt = points.select("id", "features").mapInArrow(cells, "id long, features array<double>, cell long")
+        step = max(1, TILE // (tables << bits))
+        for whole in batches:
+            for s in range(0, whole.num_rows, step):
+                batch = whole.slice(s, step)
+                side = (_matrix(batch) @ directions).reshape(batch.num_rows, tables, bits)
+                flips = _flips(side, bits)[:, :probes]
+                cell = np.take_along_axis(_cells(side, bits), flips >> bits, 1) ^ (flips & ((1 << bits) - 1))
+                order = np.repeat(np.arange(batch.num_rows), flips.shape[1])
+                own = flips & ((1 << bits) - 1) == 0
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(order), batch.column("features").take(order), pa.array(cell.reshape(-1).astype(np.int64)), pa.array(own.reshape(-1))], names=["id", "features", "cell", "own"])
+
+    dealt = points.select("id", "features").mapInArrow(cells, "id long, features array<double>, cell long, own boolean")
 
     def run(table: pa.Table) -> pa.Table:
         ids, a = table.column("id").to_numpy(), _matrix(table)
-        return pa.Table.from_batches([_EMPTY, *_rows(_nearest(ids, a, ids, a, k, "l2sq"))])
+        own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        return pa.Table.from_batches([_EMPTY, *_rows(_nearest(ids, a, ids[own], a[own], k, "l2sq"))])
 
     return ranked(dealt.groupBy("cell").applyInArrow(run, SCHEMA).dropDuplicates(["i", "j"]), k)
 
