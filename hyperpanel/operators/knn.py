@@ -235,11 +235,59 @@ def lsh_knn(points: DataFrame, k: int, *, tables: int = 8, bits: int = 6, seed:
     return ranked(dealt.groupBy("cell").applyInArrow(run, SCHEMA).dropDuplicates(["i", "j"]), k)
 
 
-def radius(points: DataFrame, queries: DataFrame, r: float, metric: str = "l2sq") -> DataFrame:
-    """i (query), j (point), d2 of all points within ``r`` of the metric (inclusive); a query's own id is left out."""
-    a = queries.select(F.col("id").alias("i"), F.col("features").alias("fa"))
-    b = points.select(F.col("id").alias("j"), F.col("features").alias("fb"))
-    return a.join(b, F.col("i") != F.col("j")).select("i", "j", METRICS[metric](F.col("fa"), F.col("fb")).alias("d2")).filter(F.col("d2") <= r)
+def _within(ids: np.ndarray, a: np.ndarray, all_ids: np.ndarray, b: np.ndarray, r: float, metric: str) -> Iterator[pa.RecordBatch]:
+    """i, j, d2 of rows of ``a`` and ``b`` within ``r``; approximate distances leave a margin, exact ones decide."""
+    base, limit = ("l2sq", r * r) if metric == "l2" else (metric, r)
+    width = max(1, b.shape[1])
+    step = max(1, TILE // max(1, len(b)))
+    for s in range(0, len(a) if len(b) else 0, step):
+        own, x = ids[s : s + step], a[s : s + step]
+        near = own[:, None] != all_ids[None]
+        if np.isfinite(r):
+            near &= _distances(x, b, base) <= limit + 1e-9 * (1 + limit + (x * x).sum(1).max() + (b * b).sum(1).max())
+        i, j = np.nonzero(near)
+        for t in range(0, len(i), max(1, TILE // width)):
+            u, v = i[t : t + max(1, TILE // width)], j[t : t + max(1, TILE // width)]
+            d = _exact(x[u], b[v], metric)
+            ok = d <= r
+            yield pa.RecordBatch.from_arrays([pa.array(own[u[ok]]), pa.array(all_ids[v[ok]]), pa.array(d[ok])], names=["i", "j", "d2"])
+
+
+def radius(points: DataFrame, queries: DataFrame, r: float, metric: str = "l2sq", method: str = "auto") -> DataFrame:
+    """i (query), j (point), d2 of all points within ``r`` of the metric (inclusive); a query's own id is left out.
+
+    method: 'broadcast', 'blocks', or 'auto', which broadcasts the points up to MOST_CELLS.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric is one of {sorted(METRICS)}")
+    points, queries = (x.select("id", "features").filter("features IS NOT NULL") for x in (points, queries))
+    n, width = size_of(points)
+    if method == "auto":
+        method = "broadcast" if n * width <= MOST_CELLS else "blocks"
+    schema = "i long, j long, d2 double"
+    if method == "broadcast":
+        table = points.toArrow()
+        matrix = points.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), _matrix(table)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, b = matrix.value
+            for batch in batches:
+                if batch.num_rows:
+                    yield from _within(batch.column("id").to_numpy(), _matrix(batch), ids, b, r, metric)
+
+        return queries.mapInArrow(run, schema)
+    blocks = max(2, -(-n * width // BLOCK_CELLS))
+    block, others = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asking = queries.select("id", "features", block.alias("own"), others.alias("other"), F.lit(True).alias("asks"))
+    asked = points.select("id", "features", others.alias("own"), block.alias("other"), F.lit(False).alias("asks"))
+
+    def pairs(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(table))
+        asks = whole.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        ids, x = whole.column("id").to_numpy(), _matrix(whole)
+        yield from _within(ids[asks], x[asks], ids[~asks], x[~asks], r, metric)
+
+    return asking.unionByName(asked).groupBy("own", "other").applyInArrow(pairs, schema)
 
 
 def all_distances(points: DataFrame, metric: str = "l2sq") -> DataFrame:

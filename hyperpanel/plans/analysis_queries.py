@@ -463,6 +463,13 @@ def bundle_step(spark, d):
     return rounded(S.bundle_step(points, 6).select("a", "b", "k", "x", "y"), "x", "y")
 
 
+@query("bundle_step_all")
+def bundle_step_all(spark, d):
+    """``bundle_step`` of all segments."""
+    points = S.control_points(_segments(spark, d), 6).withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
+    return rounded(S.bundle_step(points, 6).select("a", "b", "k", "x", "y"), "x", "y")
+
+
 @query("heatmap_table", f"WITH {CELLS} SELECT 'selection' AS x_label, dim AS y_label, {r('avg(x)', 'value')}, 1.0 AS confidence FROM cells WHERE label = 3 GROUP BY dim")
 def heatmap_table(spark, d):
     return rounded(S.heatmap_table(panel(spark, d), "selection"), "value")

@@ -43,6 +43,13 @@ def radius_join(spark, d):
     return rounded(N.radius(points, points.filter("id < 100"), 0.8), "d2")
 
 
+@query("radius_join_all")
+def radius_join_all(spark, d):
+    """``radius_join`` asked by all points."""
+    points = panel(spark, d)
+    return rounded(N.radius(points, points, 0.8), "d2")
+
+
 @query("all_distances", f"WITH {PTS} SELECT a.id AS i, b.id AS j, {r('pow(list_distance(a.f, b.f), 2)', 'd2')} FROM pts a JOIN pts b ON a.id <> b.id WHERE a.label = 3 AND b.label = 3")
 def all_distances(spark, d):
     return rounded(N.all_distances(panel(spark, d).filter("label = 3")), "d2")
@@ -88,6 +95,12 @@ def conditional_p_column(spark, d):
     return rounded(M.calibrated(graph, 10, method="column").select("i", "j", "w"), "w", digits=4)
 
 
+@query("conditional_p_column_all")
+def conditional_p_column_all(spark, d):
+    """``conditional_p_column`` of all points."""
+    return rounded(M.calibrated(N.knn(panel(spark, d), 30), 10, method="column").select("i", "j", "w"), "w", digits=4)
+
+
 _JOINT = f"{_P10}, both_ AS (SELECT i, j, w FROM p UNION ALL SELECT j, i, w FROM p), joint AS (SELECT i, j, sum(w) / 2 AS w FROM both_ GROUP BY i, j)"
 
 

@@ -1,5 +1,7 @@
 """Queries and operators do the whole job: recall, all rows, all dimensions, walks that end."""
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from compare import DATA
 
@@ -24,3 +26,48 @@ def test_lsh_knn_recall(spark, folder):
 def test_lsh_knn_of_full_recall_is_exact(spark):
     points = panel(spark, DATA).filter("id < 200")
     assert pairs(knn.lsh_knn(points, 10, recall=1.0)) == pairs(knn.knn(points, 10))
+
+
+def vectors(folder=DATA):
+    t = pq.read_table(f"{folder}/embeddings.parquet")
+    x = np.array(t.column("embedding").to_pylist(), float)
+    return t.column("vec_id").to_numpy(), x, np.stack([((v - x) ** 2).sum(1) for v in x])
+
+
+def test_radius_join_asks_all_points(spark):
+    folder = "/root/testdata/sf0.1"  # no two points of the smaller ones are so near
+    ids, _, d2 = vectors(folder)
+    want = {(int(ids[a]), int(ids[b])): d2[a, b] for a, b in zip(*np.nonzero((d2 <= 0.8) & ~np.eye(len(ids), dtype=bool)), strict=True)}
+    got = {(r.i, r.j): r.d2 for r in QUERIES["radius_join_all"](spark, folder).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert max(i for i, _ in got) >= 100
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2", "l2sq"])
+def test_radius_methods_agree(spark, metric):
+    points = panel(spark, DATA).filter("id < 60")
+    r = {"l1": 8.0, "l2": 1.3, "l2sq": 1.7}[metric]
+    a, b = (knn.radius(points, points, r, metric, method=m).collect() for m in ("broadcast", "blocks"))
+    near = {(x.i, x.j) for x in knn.knn(points, 59, metric).filter(f"d2 <= {r}").collect()}
+    assert sorted(a) == sorted(b) and {(x.i, x.j) for x in a} == near and near
+
+
+def test_conditional_p_column_of_all_points(spark):
+    kernel, column = ({(r.i, r.j): r.w for r in QUERIES[n](spark, DATA).collect()} for n in ("conditional_p", "conditional_p_column_all"))
+    assert kernel.keys() == column.keys() and all(abs(kernel[k] - column[k]) < 2e-4 for k in kernel)
+
+
+def test_bundle_step_of_all_segments(spark):
+    ids, x, d2 = vectors()
+    np.fill_diagonal(d2, np.inf)
+    pairs_ = [(i, j) for i in range(len(ids)) for j in np.lexsort((ids, d2[i]))[:2]]
+    xy = np.array([[x[i, :2] + (x[j, :2] - x[i, :2]) * k / 5 for k in range(6)] for i, j in pairs_])
+    gap = xy[None] - xy[:, None]
+    pull = np.where(np.abs(gap) < 0.1, gap, 0).sum(1) * 0.1 / len(pairs_)
+    want = xy.copy()
+    want[:, 1:5] += (xy[:, :4] + xy[:, 2:] - 2 * xy[:, 1:5] + pull[:, 1:5]) * 0.15 * 0.98 * 0.15
+    got = {(r.a, r.b, r.k): (r.x, r.y) for r in QUERIES["bundle_step_all"](spark, DATA).collect()}
+    assert len(got) == 6 * len(pairs_)
+    for n, (i, j) in enumerate(pairs_):
+        for k in range(6):
+            assert np.allclose(got[int(ids[i]), int(ids[j]), k], want[n, k], atol=2e-6)
