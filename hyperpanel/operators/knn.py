@@ -52,12 +52,12 @@ def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 def _nearest(ids: np.ndarray, a: np.ndarray, all_ids: np.ndarray, b: np.ndarray, k: int, metric: str) -> Iterator[tuple[np.ndarray, ...]]:
     """(i, j, rank, distance) of the k nearest of ``b`` for rows of ``a``; approximate distances choose 2k + 8, exact ones rank."""
-    step = max(1, TILE // max(1, len(b)))
+    m = min(len(b), 2 * k + 8)
+    step = max(1, min(TILE // max(1, len(b)), 4 * TILE // max(1, m * b.shape[1])))
     for s in range(0, len(a) if len(b) else 0, step):
         own, x = ids[s : s + step], a[s : s + step]
         d = _distances(x, b, metric)
         d[own[:, None] == all_ids[None]] = np.inf
-        m = min(len(b), 2 * k + 8)
         near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(b) else np.broadcast_to(np.arange(len(b)), d.shape)
         exact = _exact(x[:, None, :], b[near], metric)
         exact[np.isinf(np.take_along_axis(d, near, axis=1))] = np.inf

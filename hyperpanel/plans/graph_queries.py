@@ -55,6 +55,12 @@ def all_distances(spark, d):
     return rounded(N.all_distances(panel(spark, d).filter("label = 3")), "d2")
 
 
+@query("all_distances_all")
+def all_distances_all(spark, d):
+    """``all_distances`` between all labels."""
+    return rounded(N.all_distances(panel(spark, d)), "d2")
+
+
 @query("lsh_knn")
 def lsh_knn(spark, d):
     return rounded(N.lsh_knn(panel(spark, d), 10, tables=6, bits=3), "d2")
@@ -124,6 +130,14 @@ def p_from_distance_matrix(spark, d):
     return rounded(M.from_distance_matrix(N.all_distances(points).unionByName(own), 5), "w", digits=4)
 
 
+@query("p_from_distance_matrix_all")
+def p_from_distance_matrix_all(spark, d):
+    """``p_from_distance_matrix`` of all points."""
+    points = panel(spark, d)
+    own = points.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d2"))
+    return rounded(M.from_distance_matrix(N.all_distances(points).unionByName(own), 5), "w", digits=4)
+
+
 @query("rw_graph_weights", f"WITH {PTS}, {knn_sql(30)}, x AS (SELECT i, j, exp(-pow(d2 / (2 * stddev_pop(d2) OVER (PARTITION BY i)), 2)) AS w FROM knn) SELECT i, j, {r('w / sum(w) OVER (PARTITION BY i)', 'w')} FROM x")
 def rw_graph_weights(spark, d):
     return rounded(M.walk_weights(panel(spark, d), 30), "w")

@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from compare import DATA
 
+from hyperpanel.functions import calibrate
 from hyperpanel.operators import knn
 from hyperpanel.plans import QUERIES
 from hyperpanel.plans.registry import panel
@@ -71,3 +72,30 @@ def test_bundle_step_of_all_segments(spark):
     for n, (i, j) in enumerate(pairs_):
         for k in range(6):
             assert np.allclose(got[int(ids[i]), int(ids[j]), k], want[n, k], atol=2e-6)
+
+
+def test_exact_tsne_embeds_all_labels(spark):
+    ids, _, _ = vectors()
+    got = QUERIES["exact_tsne_full"](spark, DATA).collect()
+    assert {r.id for r in got} == set(ids.tolist()) and all(np.isfinite([r.y0, r.y1]).all() for r in got)
+
+
+def test_all_distances_between_labels(spark):
+    ids, _, d2 = vectors()
+    t = QUERIES["all_distances_all"](spark, DATA).toArrow()
+    place = {v: p for p, v in enumerate(ids.tolist())}
+    i, j = ([place[v] for v in t.column(c).to_pylist()] for c in "ij")
+    assert len(set(zip(i, j, strict=True))) == len(i) == len(ids) * (len(ids) - 1)
+    assert np.abs(t.column("d2").to_numpy() - d2[i, j]).max() < 1e-6
+
+
+def test_p_from_distance_matrix_of_all_points(spark):
+    ids, _, d2 = vectors()
+    got = np.zeros_like(d2)
+    place = {v: p for p, v in enumerate(ids.tolist())}
+    rows = QUERIES["p_from_distance_matrix_all"](spark, DATA).collect()
+    for r in rows:
+        got[place[r.i], place[r.j]] = r.w
+    p, _ = calibrate.kernel(np.stack([np.delete(v, k) for k, v in enumerate(d2)]), 5.0)
+    want = np.stack([np.insert(v, k, 0.0) for k, v in enumerate(p)])
+    assert len(rows) == len(ids) ** 2 and np.abs(got - want).max() < 1e-3
