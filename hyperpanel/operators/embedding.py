@@ -23,7 +23,7 @@ from . import tree as trees
 from .field import field_repulsion
 from .knn import MOST_CELLS, _matrix
 from .similarity import Parameters as GraphParameters
-from .similarity import joint, row_normalised, symmetrised, walk_weights
+from .similarity import joint, symmetrised, walk_weights
 
 #: Points up to which a whole run is one task.
 ONE_TASK = 20_000
@@ -284,15 +284,54 @@ def row_sums(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("weight"))
 
 
-def random_walk_tsne(points: DataFrame, landmarks: int = 100, neighbours: int = 30, walks: int = 2000, seed: int = 0, length: int = 60, p: Parameters = EXACT, iterations: int = 500) -> DataFrame:
-    """Embedding of random landmarks, related by where walks from one meet another."""
-    from . import graphs
-
+def met_first(p: np.ndarray, stops: int, block: int = 128) -> np.ndarray:
+    """Chances that walks from each of the last ``stops`` states of a chain first meet each other one, without a limit of steps.
+
+    ``p`` is overwritten. The other states are eliminated in blocks; a state is
+    left by the sum of what leads out of it, never by one less what stays, so
+    chances keep their accuracy where walks stay between few states for long.
+    States that nothing leaves take their walks with them. The start is passed
+    through; rows are those of walks that end, and sum to one or are 0.
+    """
+    m = len(p) - stops
+    for s in range(0, m, block):
+        e = min(s + block, m)
+        for k in range(s, e):
+            out = p[k, k + 1 :].sum()
+            p[k, k + 1 :] = p[k, k + 1 :] / out if out > 0 else 0.0
+            p[k + 1 : e, k + 1 :] += np.outer(p[k + 1 : e, k], p[k, k + 1 :])
+            p[e:, k + 1 : e] += np.outer(p[e:, k], p[k, k + 1 : e])
+        for r in range(e, len(p), 1024):
+            p[r : r + 1024, e:] += p[r : r + 1024, s:e] @ p[s:e, e:]
+    met = p[m:, m:].copy()
+    np.fill_diagonal(met, 0.0)
+    total = met.sum(1, keepdims=True)
+    return np.divide(met, total, out=np.zeros_like(met), where=total > 0)
+
+
+def meetings(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """i, j, w: chances that a walk from landmark i meets j first of the other landmarks; for graphs that fit the driver (ONE_TASK)."""
+    nodes = edges.select(F.col("i").alias("id")).unionByName(edges.select(F.col("j").alias("id"))).unionByName(landmarks.select("id")).distinct()
+    if nodes.count() > ONE_TASK:
+        raise ValueError(f"walks between landmarks are followed in graphs of at most {ONE_TASK} points; embed landmarks of a hierarchy instead")
+    marks = np.sort(landmarks.select("id").toArrow().column("id").to_numpy())
+    ids = np.concatenate([np.setdiff1d(nodes.toArrow().column("id").to_numpy(), marks), marks])
+    order = np.argsort(ids)
+    e = edges.select("i", "j", "w").toArrow()
+    i, j = (order[np.searchsorted(ids, e.column(c).to_numpy(), sorter=order)] for c in ("i", "j"))
+    p = np.zeros((len(ids), len(ids)))
+    np.add.at(p, (i, j), e.column("w").to_numpy())
+    met = met_first(p, len(marks))
+    a, b = np.nonzero(met)
+    rows = [(int(marks[x]), int(marks[y]), float(met[x, y])) for x, y in zip(a, b, strict=True)]
+    return edges.sparkSession.createDataFrame(rows, "i long, j long, w double")
+
+
+def random_walk_tsne(points: DataFrame, landmarks: int = 100, neighbours: int = 30, seed: int = 0, p: Parameters = EXACT, iterations: int = 500) -> DataFrame:
+    """Embedding of random landmarks, related by where walks from one first meet another: the limit of many walks, however long."""
     edges = walk_weights(points, neighbours)
     chosen = points.select("id").withColumn("u", rng.uniform(seed, F.col("id"))).orderBy("u", "id").limit(landmarks).select("id")
-    ends = graphs.absorbing_walks(edges, chosen, chosen, walks, length, seed + 1, other_than_start=True).filter("at IS NOT NULL")
-    counts = ends.groupBy(F.col("start").alias("i"), F.col("at").alias("j")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return embed(initial(chosen, p), symmetrised(row_normalised(counts)), p, iterations)
+    return embed(initial(chosen, p), symmetrised(meetings(edges, chosen)), p, iterations)
 
 
 def repaired_rows(edges: DataFrame, nodes: DataFrame, least: int = 7, seed: int = 0) -> DataFrame:

@@ -240,7 +240,7 @@ _run("field_tsne_full", lambda s, d: E.tsne(panel(s, d), _SMALLP, E.Parameters(r
 _run("raster_tsne_full", lambda s, d: E.tsne(panel(s, d), _SMALLP, E.Parameters(repulsion="raster"), iterations=60))
 _run("wtsne_full", lambda s, d: E.weighted_tsne(panel(s, d), _SMALLP, iterations=60))
 _run("exact_tsne_full", lambda s, d: E.exact_tsne(panel(s, d), 10, iterations=60))
-_run("rw_tsne_full", lambda s, d: E.random_walk_tsne(panel(s, d), landmarks=40, neighbours=10, walks=20, length=12, iterations=60))
+_run("rw_tsne_full", lambda s, d: E.random_walk_tsne(panel(s, d), neighbours=10, iterations=60))
 
 # --- hierarchy ----------------------------------------------------------------
 

@@ -6,7 +6,8 @@ import pytest
 from compare import DATA
 
 from hyperpanel.functions import calibrate
-from hyperpanel.operators import knn
+from hyperpanel.operators import embedding, knn
+from hyperpanel.operators.similarity import walk_weights
 from hyperpanel.plans import QUERIES
 from hyperpanel.plans.registry import panel
 
@@ -99,3 +100,29 @@ def test_p_from_distance_matrix_of_all_points(spark):
     p, _ = calibrate.kernel(np.stack([np.delete(v, k) for k, v in enumerate(d2)]), 5.0)
     want = np.stack([np.insert(v, k, 0.0) for k, v in enumerate(p)])
     assert len(rows) == len(ids) ** 2 and np.abs(got - want).max() < 1e-3
+
+
+def test_walks_go_on_until_they_meet_a_landmark(spark):
+    # 0 and 9 are landmarks at the ends of a line; walks take some 81 steps, and 20 and 21 keep theirs
+    rows = [(k, k + s, 0.5) for k in range(1, 9) for s in (-1, 1)] + [(0, 1, 1.0), (9, 8, 1.0), (30, 20, 0.5), (30, 0, 0.5), (20, 21, 1.0), (21, 20, 1.0)]
+    graph = spark.createDataFrame(rows, "i long, j long, w double")
+    landmarks = spark.createDataFrame([(0,), (9,), (30,)], "id long")
+    assert {(r.i, r.j): round(r.w, 9) for r in embedding.meetings(graph, landmarks).collect()} == {(0, 9): 1.0, (9, 0): 1.0, (30, 0): 1.0}
+
+
+@pytest.mark.parametrize("block", [1, 7, 128])
+def test_first_meetings_equal_solved_chain(block):
+    g = np.random.default_rng(0)
+    p = g.random((60, 60)) * (g.random((60, 60)) < 0.2) + 1e-3
+    p /= p.sum(1, keepdims=True)
+    first = p[50:, 50:] + p[50:, :50] @ np.linalg.solve(np.eye(50) - p[:50, :50], p[:50, 50:])
+    np.fill_diagonal(first, 0)
+    assert np.allclose(embedding.met_first(p.copy(), 10, block), first / first.sum(1, keepdims=True))
+
+
+def test_rw_tsne_full_relates_all_landmarks(spark):
+    points = panel(spark, DATA)
+    chosen = points.select("id").orderBy("id").limit(100)
+    sums = embedding.meetings(walk_weights(points, 10), chosen).groupBy("i").sum("w").collect()
+    assert len(sums) >= 99 and all(abs(r[1] - 1) < 1e-9 for r in sums)
+    assert QUERIES["rw_tsne_full"](spark, DATA).count() == 100
