@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,14 +83,36 @@ def covariance(points: DataFrame, weight: str | None = None) -> DataFrame:
     return sums.select("a", "b", (F.col("sab") / F.col("n") - F.col("sa") / F.col("n") * (F.col("sb") / F.col("n"))).alias("c"))
 
 
+def _neighbourhoods(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """i, w, x: weights and features of the neighbours of each i (edges i, j, w), features one after the other."""
+    near = edges.join(points.select(F.col("id").alias("j"), "features"), "j")
+    lists = near.groupBy("i").agg(F.collect_list(F.struct("w", "features")).alias("n"))
+    return lists.select("i", F.transform("n", lambda n: n["w"]).alias("w"), F.flatten(F.transform("n", lambda n: n["features"])).alias("x"))
+
+
+def _centred(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, shares of weight, features less their weighted mean) of each neighbourhood."""
+    w, x = batch.column("w"), batch.column("x")
+    weights, values = w.flatten().to_numpy(), x.flatten().to_numpy()
+    wo, xo = (v.offsets.to_numpy() - v.offsets[0].as_py() for v in (w, x))
+    for r, i in enumerate(batch.column("i").to_pylist()):
+        share = weights[wo[r] : wo[r + 1]]
+        share = share / share.sum()
+        rows = values[xo[r] : xo[r + 1]].reshape(len(share), -1)
+        yield i, share, rows - share @ rows
+
+
 def local_covariance(points: DataFrame, edges: DataFrame) -> DataFrame:
     """i, a, b, c: weighted covariance of the neighbourhood of each i (edges i, j, w)."""
-    near = edges.join(points.select(F.col("id").alias("j"), "features"), "j")
-    x = F.transform("features", lambda v, i: F.struct(i.alias("a"), v.alias("xa")))
-    rows = near.select("i", "w", "features", F.explode(x).alias("l")).select("i", "w", "l.a", "l.xa", F.posexplode("features").alias("b", "xb"))
-    w = F.col("w")
-    sums = rows.groupBy("i", "a", "b").agg(F.sum(w).alias("n"), F.sum(w * F.col("xa")).alias("sa"), F.sum(w * F.col("xb")).alias("sb"), F.sum(w * F.col("xa") * F.col("xb")).alias("sab"))
-    return sums.select("i", "a", "b", (F.col("sab") / F.col("n") - F.col("sa") * F.col("sb") / (F.col("n") * F.col("n"))).alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, share, gap in _centred(batch):
+                c = (gap * share[:, None]).T @ gap
+                a, b = np.indices(c.shape, np.int32).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(c.size, i)), pa.array(a), pa.array(b), pa.array(c.reshape(-1))], names=["i", "a", "b", "c"])
+
+    return _neighbourhoods(points, edges).mapInArrow(run, "i long, a int, b int, c double")
 
 
 def _square(rows: list) -> np.ndarray:
@@ -111,13 +135,19 @@ def pca(points: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def intrinsic_dimension(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """i, dimension: trace over largest eigenvalue of each local covariance."""
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        values = np.linalg.eigvalsh(_square(list(frame.itertuples())))
-        return pd.DataFrame({"i": [frame.i.iloc[0]], "dimension": [float(values.sum() / values.max()) if values.max() > 0 else 0.0]})
-
-    return local_covariance(points, edges).groupBy("i").applyInPandas(solve, "i long, dimension double")
+    """i, dimension: trace over largest eigenvalue of each local covariance, over all dimensions; weights are not negative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = [], []
+            for i, share, gap in _centred(batch):
+                gap = gap * np.sqrt(share)[:, None]
+                values = np.linalg.eigvalsh(gap @ gap.T if len(gap) < gap.shape[1] else gap.T @ gap)  # the same but for zeros
+                ids.append(i)
+                found.append(float(values.sum() / values.max()) if values.max() > 0 else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.float64())], names=["i", "dimension"])
+
+    return _neighbourhoods(points, edges).mapInArrow(run, "i long, dimension double")
 
 
 def lda_direction(points: DataFrame, label: str, a: int, b: int) -> DataFrame:

@@ -50,6 +50,12 @@ def local_covariance(spark, d):
     return rounded(A.local_covariance(_narrow(spark, d), edges(spark, d)), "c")
 
 
+@query("local_covariance_all")
+def local_covariance_all(spark, d):
+    """``local_covariance`` over all dimensions."""
+    return rounded(A.local_covariance(panel(spark, d), edges(spark, d)), "c")
+
+
 @query("pca")
 def pca(spark, d):
     return rounded(A.pca(low(spark, d)).select("axis", "variance", F.posexplode("direction").alias("dim", "x")), "variance", "x", digits=4)
@@ -57,7 +63,7 @@ def pca(spark, d):
 
 @query("intrinsic_dim")
 def intrinsic_dim(spark, d):
-    return rounded(A.intrinsic_dimension(_narrow(spark, d), edges(spark, d, 10)), "dimension")
+    return rounded(A.intrinsic_dimension(panel(spark, d), edges(spark, d, 10)), "dimension")
 
 
 _TWO = "two AS (SELECT l_quantity AS x, l_discount AS y, l_returnflag AS k FROM lineitem WHERE l_returnflag IN ('A', 'R'))"

@@ -126,3 +126,26 @@ def test_rw_tsne_full_relates_all_landmarks(spark):
     sums = embedding.meetings(walk_weights(points, 10), chosen).groupBy("i").sum("w").collect()
     assert len(sums) >= 99 and all(abs(r[1] - 1) < 1e-9 for r in sums)
     assert QUERIES["rw_tsne_full"](spark, DATA).count() == 100
+
+
+def neighbourhoods(k):
+    ids, x, d2 = vectors()
+    np.fill_diagonal(d2, np.inf)
+    for i in range(len(ids)):
+        near = np.lexsort((ids, d2[i]))[:k]
+        w = 1 / (1 + d2[i, near])
+        yield int(ids[i]), np.cov(x[near].T, aweights=w, ddof=0)
+
+
+def test_intrinsic_dim_of_all_dimensions(spark):
+    got = {r.i: r.dimension for r in QUERIES["intrinsic_dim"](spark, DATA).collect()}
+    want = {i: np.trace(c) / np.linalg.eigvalsh(c).max() for i, c in neighbourhoods(10)}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+    assert max(got.values()) > 3
+
+
+def test_local_covariance_of_all_dimensions(spark):
+    t = QUERIES["local_covariance_all"](spark, DATA).filter("i < 40").toArrow()
+    want = dict(neighbourhoods(5))
+    i, a, b, c = (t.column(n).to_numpy() for n in ("i", "a", "b", "c"))
+    assert len(c) == 40 * 64 * 64 and max(abs(want[u][v, w] - y) for u, v, w, y in zip(i, a, b, c, strict=True)) < 1e-6
