@@ -414,7 +414,10 @@ def visible_lines(spark, d):
 
 @query("bipartite_session")
 def bipartite_session(spark, d):
-    """Overview of the larger landmarks: similarity rows, transition, influence and links of both sides in one table."""
+    """Similarity rows of side a (its 10 nearest by Jaccard) and connection counts between landmarks given by id % 5 and id % 7.
+
+    The whole session (SURVEY X6) is not built: no side b, deduplication, hierarchies or influence.
+    """
     from ..operators import sets as J
 
     m, a, b = _bipartite(spark, d)
