@@ -5,7 +5,9 @@ A document is taken as a mixture: expectation-maximisation estimates its
 language proportions from the trigram likelihoods of its words, and among the
 nested sets of its likeliest languages the one with the best penalised
 likelihood (half a log of the number of words for every further proportion) is
-kept. The prediction is the largest proportion of that set.
+kept. Sets grow to all learned languages; a document's search ends before only
+where the likelihood of any mixture, bounded from above, cannot make up for the
+penalty. The prediction is the largest proportion of the chosen set.
 
 Predictions read the text alone. Models are bounded: languages x 65,536
 trigram classes; more than ``MOST_LANGUAGES`` is refused.
@@ -30,7 +32,7 @@ from . import common
 
 CLASSES = 1 << 16
 MOST_LANGUAGES = 512
-STEPS, MORE_STEPS, MOST_IN_SET = 8, 5, 4
+STEPS, MORE_STEPS = 8, 5
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -104,12 +106,22 @@ def mixtures(like: np.ndarray, of: np.ndarray, start: np.ndarray, steps: int) ->
     return share, np.add.reduceat(total, firsts, dtype=np.float64)
 
 
-def infer(texts: list[str | None], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(language's number or -1, proportion) of every text."""
-    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+def most(like: np.ndarray, of: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What the log likelihood of no mixture exceeds, for every document: it is concave, so the slopes at ``share`` bound it."""
+    firsts = np.flatnonzero(np.diff(of, prepend=-1))
+    owner = np.cumsum(np.diff(of, prepend=of[0]) != 0)
+    n = np.diff(np.append(firsts, len(of)))
+    mix = (like * share[owner]).sum(axis=1, keepdims=True) + np.float32(1e-30)
+    slopes = np.add.reduceat(like / mix, firsts, dtype=np.float64) / n[:, None]
+    return np.add.reduceat(np.log(mix[:, 0]), firsts, dtype=np.float64) + n * np.log(np.maximum(slopes.max(axis=1), 1)) + 1e-5 * n
+
+
+def proportions(texts: list[str | None], logp: np.ndarray) -> np.ndarray:
+    """Proportion of every language in every text, 0 outside the chosen set; rows of texts without a letter are 0."""
+    out = np.zeros((len(texts), len(logp)))
     classes, words, of = trigrams(texts)
     if not len(words) or not len(logp):
-        return best, score
+        return out
     log = np.stack([np.add.reduceat(row[classes], words) for row in logp], axis=1)
     top = log.max(axis=1, keepdims=True)
     like = np.exp(np.maximum(log - top, -60)).astype(np.float32)
@@ -124,34 +136,52 @@ def infer(texts: list[str | None], logp: np.ndarray) -> tuple[np.ndarray, np.nda
     single = np.add.reduceat(np.log(np.maximum(like, 1e-26)), firsts, dtype=np.float64)
     kept = (rank == 0).astype(np.float32)
     value = np.take_along_axis(single, order[:, :1], axis=1)[:, 0]
-    open_ = np.flatnonzero(share.max(axis=1) < 0.999)
-    for k in range(2, min(langs, MOST_IN_SET) + 1):
+    bound = most(like + np.float32(1e-26), of, share)
+    for k in range(2, langs + 1):
+        penalty = 0.5 * (k - 1) * np.log(np.maximum(2, n_words))
+        open_ = np.flatnonzero(bound - penalty > value)
         if not len(open_):
             break
         words_of = np.isin(owner, open_)
         start = np.where(rank[open_] < k, np.maximum(share[open_], 1e-4), 0)
         start /= start.sum(axis=1, keepdims=True)
         part, ll = mixtures(like[words_of] + np.float32(1e-26), of[words_of], start.astype(np.float32), MORE_STEPS)
-        gain = ll - 0.5 * (k - 1) * np.log(np.maximum(2, n_words[open_]))
+        gain = ll - penalty[open_]
         better = gain > value[open_]
         kept[open_[better]], value[open_[better]] = part[better], gain[better]
-        open_ = open_[better]
-    best[docs], score[docs] = kept.argmax(axis=1), np.clip(kept.max(axis=1), 0, 1)
-    return best, score
+    out[docs] = np.clip(kept, 0, 1)
+    return out
+
+
+def top(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language's number or -1, proportion) of every row."""
+    if not shares.shape[1]:
+        return np.full(len(shares), -1), np.zeros(len(shares))
+    score = shares.max(axis=1, initial=0)
+    return np.where(score > 0, shares.argmax(axis=1), -1), score
+
+
+def infer(texts: list[str | None], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language's number or -1, proportion) of every text."""
+    return top(proportions(texts, logp))
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
+    """doc_id, lang_pred, score and proportions (of the languages of the chosen set) of every row."""
     model = docs.sparkSession.sparkContext.broadcast((langs, logp))  # at most MOST_LANGUAGES x CLASSES x 4 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value
         for whole in batches:
             for batch in common.row_slices(whole, 1, 1 << 20):
-                best, score = infer(batch.column(1).to_pylist(), table)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if b >= 0 else "und" for b in best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-
-    return common.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+                shares = proportions(batch.column(1).to_pylist(), table)
+                best, score = top(shares)
+                row, lang = np.nonzero(shares)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(shares)))]).astype(np.int32)
+                sets = pa.MapArray.from_arrays(pa.array(ends), pa.array([names[x] for x in lang], pa.string()), pa.array(shares[row, lang]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[b] if b >= 0 else "und" for b in best], pa.string()), pa.array(score), sets], names=["doc_id", "lang_pred", "score", "proportions"])
+
+    return common.id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, proportions map<string,double>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
