@@ -13,7 +13,10 @@ in an exception list. Layout, all little-endian::
 
 The index of block starts lets a reader seek to any id. Documents are dealt out
 by ranges of ``doc_id``; shards are numbered in that order, so a shard's first
-global id is the number of ids in all shards before it.
+global id is the number of ids in all shards before it. The number of shards
+follows from the bytes and rows of all texts, so a shard and its indexes stay
+bounded; equal ids are cut apart by the start of their texts, equal rows by the
+partition that they come from.
 
 Defined results: null text is empty and holds the end id alone; a null
 ``doc_id`` is kept and comes first; equal ids stand in the order of their
@@ -41,6 +44,10 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: Ids that a writer gathers before it packs them.
 AT_ONCE = BLOCK * 2048
+#: A shard holds about so many bytes of text and so many documents, at most; smaller inputs get as many shards as shuffles have partitions, but none for less than LEAST_BYTES.
+SHARD_BYTES, SHARD_DOCS, LEAST_BYTES = 256 << 20, 2_000_000, 4 << 20
+#: Characters of a text that part equal ids.
+PREFIX = 32
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -196,7 +203,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, *, end_id: int
     lost executors and repeated tasks do no harm.
     """
     spark = docs.sparkSession
-    rows = common.id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = common.id_and_text(docs, id_col, text_col)
+    n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_bytes or 0) // LEAST_BYTES))
+    count = max(1, spread, -(-(n_bytes or 0) // SHARD_BYTES), -(-n_docs // SHARD_DOCS))
+    rows = rows.repartitionByRange(count, "doc_id", F.substring("text", 1, PREFIX), F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer, n_bytes = TaskContext.get().partitionId(), ShardWriter(), 0

@@ -1,12 +1,11 @@
 """Token ids of texts, by a public tokenizer file of the ``tokenizers`` library.
 
 Byte-level BPE cuts a text by a fixed pattern and encodes each piece by itself.
-No piece crosses a space that stands between two visible characters, so a batch
-of texts is cut there by Arrow, and only the distinct units (a space and what
-follows up to the next one) are encoded, once per worker, by the library's
-model. Units with characters on which Unicode tables may differ go through the
-library's own cutting, and texts with other runs of white space go to the
-library as a whole; all ways give the same ids.
+A batch of texts is cut by numpy over its bytes, and only the distinct pieces
+are encoded, once per worker, by the library's model. Texts with characters on
+whose kind Unicode tables may differ, and texts that hold an added token of the
+file (such as its end mark), go to the library as a whole; all ways give the
+ids of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -20,12 +19,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units kept per worker (some 200 bytes each); above it the table starts anew, which bounds memory.
+from . import common
+
+#: Pieces kept per worker (some 200 bytes each); above it, or above MOST_BYTES of pieces, the table starts anew, which bounds memory.
 MOST_UNITS = 800_000
-#: Fixed value: the pattern by which byte-level BPE cuts texts.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of long standing, on which all Unicode tables agree.
-PLAIN = r"[\t\n\r\x20-\x7e\xa1-\u024f]*"
+MOST_BYTES = 32 << 20
+#: Bytes of a piece that is kept, at most.
+LONG = 64
+#: Bytes and rows of texts that are cut together.
+AT_ONCE, ROWS_AT_ONCE = 4 << 20, 4096
+
+# The pattern by which byte-level BPE cuts texts, in kinds of bytes:
+# 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+_LETTER, _NUMBER, _MARK, _WHITE, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[*range(0x30, 0x3A)]] = _NUMBER
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[[0x20, *range(0x09, 0x0E)]] = _WHITE
+#: Two-byte letters of U+00C0 to U+023F, on which all Unicode tables agree, and what continues them; two of these characters are marks.
+_KIND[0xC3:0xC9] = _LETTER
+_KIND[0x80:0xC0] = _LETTER
+_SIGNS = (0x97, 0xB7)
 
 
 def byte_letters() -> str:
@@ -35,126 +50,112 @@ def byte_letters() -> str:
     return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
 
 
+def kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of every byte."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    kind[lead[np.isin(data[lead + 1], _SIGNS)]] = _ODD
+    return kind
+
+
+def pieces(offsets: np.ndarray, data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """First byte of every piece of texts without odd bytes."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    opens = np.zeros(n + 1, bool)
+    opens[offsets] = True
+    opens = opens[:n]
+    white = kind == _WHITE
+    new = np.ones(n, bool)
+    new[1:] = (kind[1:] != kind[:-1]) & ~((data[:-1] == 32) & ~white[1:])  # a space belongs to what follows it
+    new[:-1] |= white[:-1] & ~white[1:] & ~opens[1:]  # the last white one before something stands apart from those before it
+    new |= opens
+    mark = np.flatnonzero(new & (data == 39))  # an apostrophe that opens a piece may be a short form
+    if len(mark):
+        end = offsets[np.searchsorted(offsets, mark, "right")]
+        at = lambda k: np.where(mark + k < end, data[np.minimum(mark + k, n - 1)], 0)
+        a, b = at(1), at(2)
+        two = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        three = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        new[mark[two | three] + 1] = False
+        after = np.concatenate([mark[two] + 2, mark[three] + 3])
+        new[after[after < n]] = True
+    return np.flatnonzero(new)
+
+
 class UnitTable:
-    """Ids of the units met so far, as one array with the start of each unit."""
+    """Ids of the pieces met so far, as one array with the start of each piece."""
 
     def __init__(self, path: str, most: int = MOST_UNITS):
-        import regex
         from tokenizers import Tokenizer
 
         self.most = most
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         pre = str(self.library.pre_tokenizer)
-        self.by_unit = pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.library.normalizer is None
-        self.find, self.plain, self.letters = regex.compile(SPLIT).findall, regex.compile(PLAIN).fullmatch, byte_letters()
+        self.by_piece = pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.library.normalizer is None
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        #: A unit's place; -1: a text is not to be cut before it. Plain words are units of their own, also where only met before a comma.
-        self.index: dict[str, int] = {}
-        #: Raw ids of other pieces: marks, and words that open a line.
-        self.marks: dict[str, bytes] = {}
+        self.index: dict[bytes, int] = {}
+        self.held = 0
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def piece(self, piece: str) -> bytes:
-        tokens = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return array("I", [t.id for t in tokens]).tobytes()
-
-    def one(self, unit: str) -> bytes:
-        """Raw ids of a short text, by its pieces."""
-        if not self.plain(unit):
-            return np.array(self.whole(unit), np.uint32).tobytes()
-        return b"".join(map(self.piece, self.find(unit)))
-
-    def learn(self, units: list[str]) -> np.ndarray:
-        """Places of new units."""
-        index, plain, marks, tokenize, space = self.index, self.plain, self.marks, self.library.model.tokenize, self.letters[32]
-        base = len(self.starts) - 1
-        flat: list[bytes] = []
-        places = []
-
-        def add(unit: str, ids: bytes) -> int:
-            at = index[unit] = base + len(flat)
-            flat.append(ids)
-            return at
-
-        def new_word(unit: str) -> bytes:
-            if unit.isascii():  # letters that stand for themselves
-                return array("I", [t.id for t in tokenize(space + unit)]).tobytes()
-            return self.piece(" " + unit)
-
-        def word(unit: str) -> bytes:
-            at = index.get(unit)
-            if at is None:
-                at = add(unit, new_word(unit))
-            if at >= base:
-                return flat[at - base]
-            return self.ids[self.starts[at] : self.starts[at + 1]].tobytes()
-
-        def mark(piece: str) -> bytes:
-            ids = marks.get(piece)
-            if ids is None:
-                ids = marks[piece] = self.piece(piece)
-            return ids
-
-        for unit in units:
-            if unit in index:  # met as the word of another unit
-                places.append(index[unit])
-            elif not unit or unit[0].isspace():
-                index[unit] = -1
-                places.append(-1)
-            elif not plain(unit):
-                places.append(add(unit, self.one(" " + unit)))
-            elif unit.isalpha():
-                places.append(add(unit, new_word(unit)))
-            elif unit[-1] in ".," and unit[:-1].isalpha():
-                ids = word(unit[:-1]) + mark(unit[-1])
-                places.append(add(unit, ids))
-            else:
-                ids = b"".join([word(x[1:]) if x[0] == " " and x[1:].isalpha() else mark(x) for x in self.find(" " + unit)])
-                places.append(add(unit, ids))
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def learn(self, new: list[bytes]) -> np.ndarray:
+        """Places of new pieces; long ones are not looked up again."""
+        tokenize, base = self.library.model.tokenize, len(self.starts) - 1
+        spelt = b"\0".join(new).decode("latin-1").translate(self.letters).split(self.letters[0])  # no piece holds a zero byte
+        flat = [array("I", [t.id for t in tokenize(p)]) for p in spelt]
+        self.index.update((p, base + k) for k, p in enumerate(new) if len(p) <= LONG)
+        self.held += sum(map(len, new))
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(flat), np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array([len(x) // 4 for x in flat], np.int64))])
-        return np.array(places, np.int64)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))])
+        return base + np.arange(len(new))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, start of each text and the end) of a string column; null is empty."""
         if column.null_count:
             column = column.fill_null("")
-        n = len(column)
-        if not self.by_unit:
-            return _joined([np.array(self.whole(t), np.uint32) for t in column.to_pylist()])
-        if len(self.index) > self.most:
+        if not self.by_piece:
+            return _joined([self.whole(t) for t in column.to_pylist()])
+        if len(self.starts) > self.most or len(self.ids) > 8 * self.most or self.held > MOST_BYTES:
             self.clear()
-        cut = pc.split_pattern(column, " ")
-        bounds = cut.offsets.to_numpy().astype(np.int64)
-        bounds -= bounds[0]
-        coded = pc.dictionary_encode(cut.flatten())
-        units = coded.dictionary.to_pylist()
+        apart = np.zeros(len(column), bool)
+        for token in self.added:
+            apart |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        offsets, data = common.utf8_buffers(column)
+        kind = kinds(data)
+        odd = np.flatnonzero(kind == _ODD)
+        apart[np.searchsorted(offsets, odd, "right") - 1] = True
+        texts = {}
+        if apart.any():
+            texts = {int(k): self.whole(column[int(k)].as_py()) for k in np.flatnonzero(apart)}
+            offsets, data = common.utf8_buffers(pc.if_else(pa.array(apart), "", column))
+            kind = kinds(data)
+        at = pieces(offsets, data, kind)
+        cut = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        coded = pc.dictionary_encode(cut)
+        known = coded.dictionary.to_pylist()
         get = self.index.get
-        place = np.array([get(u, -2) for u in units], np.int64)
-        new = np.flatnonzero(place == -2)
+        place = np.fromiter((get(p, -1) for p in known), np.int64, len(known))
+        new = np.flatnonzero(place < 0)
         if len(new):
-            place[new] = self.learn([units[k] for k in new])
-        at = place[coded.indices.to_numpy()]
-        firsts = [self.one(units[k]) for k in coded.indices.to_numpy()[bounds[:-1]]] if n else []
-        at[bounds[:-1]] = 0  # a text's first unit follows no space and is encoded by itself
-        hard = np.flatnonzero(np.minimum.reduceat(at, bounds[:-1]) < 0) if n else []
-        at = np.maximum(at, 0)
-        starts = np.append(self.starts, self.starts[-1])
-        first = starts[at]
-        lengths = starts[at + 1] - first
-        lengths[bounds[:-1]] = 0
+            place[new] = self.learn([known[k] for k in new])
+        place = place[coded.indices.to_numpy()]
+        first = self.starts[place]
+        lengths = self.starts[place + 1] - first
         ends = np.cumsum(lengths)
-        flat = self.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        spans = np.concatenate([[0], ends])[bounds]
-        hard = set(map(int, hard))
-        return _joined([np.array(self.whole(column[k].as_py()), np.uint32) if k in hard else np.append(np.frombuffer(firsts[k], np.uint32), flat[spans[k] : spans[k + 1]]) for k in range(n)])
+        ids = self.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.searchsorted(at, offsets)]
+        if texts:
+            return _joined([texts.get(k, ids[bounds[k] : bounds[k + 1]]) for k in range(len(column))])
+        return ids, bounds
 
 
 def _joined(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +169,7 @@ def unit_table(path: str, most: int = MOST_UNITS) -> UnitTable:
     return UnitTable(path, most)
 
 
-def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 4096, most: int = MOST_UNITS) -> Iterator[tuple[int, np.ndarray]]:
+def encode_column(path: str, column: pa.Array, end_id: int, most: int = MOST_UNITS) -> Iterator[tuple[int, np.ndarray]]:
     """Yield (row, ids with the end id) of a string column; a text that stands in it several times is encoded once."""
     table = unit_table(path, most)
     column = column.fill_null("")
@@ -176,11 +177,13 @@ def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 4096,
     first = np.zeros(len(code), bool)
     first[np.unique(code, return_index=True)[1]] = True
     again = np.bincount(code) > 1 if len(code) else first
+    sizes = np.concatenate([[0], np.cumsum(np.where(first, pc.binary_length(column).to_numpy(), 0))])
     kept: dict[int, np.ndarray] = {}
-    for start in range(0, len(column), at_once):
-        rows = np.arange(start, min(start + at_once, len(column)))
-        new = rows[first[rows]]
-        ids, bounds = table.encode(column.take(pa.array(new)))
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, min(start + ROWS_AT_ONCE, int(np.searchsorted(sizes, sizes[start] + AT_ONCE, "right")) - 1))
+        rows = np.arange(start, min(stop, len(column)))
+        ids, bounds = table.encode(column.take(pa.array(rows[first[rows]])))
         k = 0
         for row in rows:
             if first[row]:
@@ -191,6 +194,7 @@ def encode_column(path: str, column: pa.Array, end_id: int, at_once: int = 4096,
             else:
                 own = kept[code[row]]
             yield int(row), own
+        start = stop
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
