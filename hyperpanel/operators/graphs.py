@@ -23,33 +23,69 @@ def lookup(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(edges, ["i", "j"], "left").select("i", "j", F.coalesce("w", F.lit(0.0)).alias("w"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, t: float = 0.0) -> DataFrame:
-    """node, component (its smallest node), size; edges above ``t`` taken both ways.
+#: A key is hot if it holds more than this share of the rows that are looked up, and more than LEAST_HOT rows: at most 1 / HOT keys are.
+HOT, LEAST_HOT = 1 / 1000, 100
+
+
+def hot_keys(rows: DataFrame, key: str) -> list[int]:
+    """The few keys that hold a large share of the rows (at most 1 / HOT of them)."""
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEAST_HOT)
+    if not (total := rows.count()):
+        return []
+    return [r[0] for r in counts.filter(F.col("n") > total * HOT).select(key).collect()]
+
+
+def lookup_by(rows: DataFrame, key: str, table: DataFrame, hot: list[int], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key; rows of the hot keys meet theirs by broadcast, the rest by a shuffle."""
+    if not hot:
+        return rows.join(table, key, how)
+    often = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(table.filter(F.col(key).isin(hot)))  # a row for each hot key
+    return rows.filter(~often).join(table, key, how).unionByName(rows.filter(often).join(few, key, how))
 
-    Labels take the smallest of their neighbours and then the label of their
-    label, until none changes; each round is checkpointed.
+
+def smallest_labels(near: DataFrame, labels: DataFrame, cut, drop=lambda df: None) -> DataFrame:
+    """node, label of ``labels``, lowered until each label is the smallest of its component.
+
+    near: i, j, both ways, stored. Labels take the smallest of their neighbours
+    and then the label of their label, until none changes. ``cut`` stores each
+    round, ``drop`` deletes what is read no more. A vertex with many neighbours
+    and a label with many vertices travel by broadcast.
     """
-    spark = edges.sparkSession
-    near = edges.filter(F.col("w") > t).select("i", "j")
-    near = _cut(spark, near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"))).filter("i <> j").distinct())
-    labels = _cut(spark, nodes.select(F.col("id").alias("node"), F.col("id").alias("label")))
+    hubs = hot_keys(near, "j")
     while True:
-        least = near.join(labels.select(F.col("node").alias("j"), "label"), "j").groupBy("i").agg(F.min("label").alias("near"))
-        step = labels.join(least, labels["node"] == least["i"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
+        least = lookup_by(near, "j", labels.select(F.col("node").alias("j"), "label"), hubs).groupBy("i").agg(F.min("label").alias("near"))
+        step = cut(labels.join(least.withColumnRenamed("i", "node"), "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was")))
         beyond = step.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        new = _cut(spark, step.join(beyond, "label").select("node", F.least("label", "beyond").alias("label"), "was"))
+        new = cut(lookup_by(step, "label", beyond, hot_keys(step, "label")).select("node", F.least("label", "beyond").alias("label"), "was"))
         moved = new.filter("label <> was").limit(1).count()
+        drop(step)
+        drop(labels)
         labels = new.select("node", "label")
         if not moved:
-            return labels.select("node", F.col("label").alias("component"), F.count(F.lit(1)).over(Window.partitionBy("label")).alias("size"))
+            return labels
+
+
+def components(edges: DataFrame, nodes: DataFrame, t: float = 0.0) -> DataFrame:
+    """node, component (its smallest node), size; edges above ``t`` taken both ways."""
+    spark = edges.sparkSession
+    near = edges.filter(F.col("w") > t).select("i", "j")
+    near = _cut(spark, near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"))).filter("i <> j").distinct())
+    labels = _cut(spark, nodes.select(F.col("id").alias("node"), F.col("id").alias("label")))
+    labels = smallest_labels(near, labels, lambda df: _cut(spark, df))
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    return lookup_by(labels, "label", sizes, hot_keys(labels, "label")).select("node", F.col("label").alias("component"), "size")
 
 
 def _cut(spark, df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names; a temporary one is set only where none is."""
+    """Checkpoint in the folder that the session names; a temporary one is set only where none is and executors share this machine's disk."""
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hyperpanel-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="hyperpanel-"))
     return df.checkpoint()
 
 
