@@ -24,9 +24,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; a temporary one is set only where none is named."""
+    """URI of the shared folder; a temporary one is set only where none is named and executors share this machine's disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="hyperpanel-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -5,27 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import smallest_labels
 from . import common
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) of every node of the edges (a, b).
 
-    Each round gives a node the smallest label among its neighbours and then
-    the label of its label, so long chains take few rounds. Rounds are stored
-    tables in the shared folder; only a count comes to the driver.
+    Rounds are stored tables in the shared folder; only counts and the few ids
+    of hot nodes come to the driver.
     """
+    spark = edges.sparkSession
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = common.materialize(both, "edges")
-    labels = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        new = step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("beyond", "label")).alias("label"), "was")
-        new = common.materialize(new, "labels")
-        moved = new.filter("label <> was").limit(1).count()
-        old, labels = labels, new.select("node", "label")
-        common.drop_table(edges.sparkSession, old)
-        if not moved:
-            return labels
+    both = common.materialize(both.select(F.col("a").alias("i"), F.col("b").alias("j")), "edges")
+    labels = common.materialize(both.groupBy(F.col("i").alias("node")).agg(F.least(F.min("j"), F.col("node")).alias("label")), "labels")
+    labels = smallest_labels(both, labels, lambda df: common.materialize(df, "labels"), lambda df: common.drop_table(spark, df))
+    common.drop_table(spark, both)
+    return labels

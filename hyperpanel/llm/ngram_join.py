@@ -14,16 +14,18 @@ Sets of word shingles are joined at a Jaccard threshold above one half:
    signatures stay in proportion to it; sizes are banded, and a set is indexed
    in its own band and in the next.
 3. Equal sets are one class. Classes that share a signature form families; the
-   sets of a family are verified exactly, in blocks of bounded size, so no
-   pair of classes is ever a row.
+   sets of a family are verified exactly, in blocks of bounded size, so no pair
+   of classes is ever a row. A family of many blocks, which boilerplate chains
+   together, is verified signature by signature instead, where that moves less;
+   a pair counts under the smallest signature that it shares.
 
 The result has a row for each document: doc_id, n_shingles, component_id (the
-smallest doc_id reachable by links), n_links (documents it links with directly).
+smallest doc_id reachable by links), n_links (rows that the row links with).
 
 Defined results: null and empty texts and texts without words have no shingle
 and link with nothing; a text with fewer words than a shingle is one shingle;
-rows with equal ids are one document, for links and components; a null
-``doc_id`` is returned and links with nothing (its component is null); an empty
+rows with equal ids are one document: what one of them links with, all of them
+reach; a null ``doc_id`` is returned and links with nothing (its component is null); an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -37,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import hot_keys, lookup_by
 from . import census, common
 from .components import connected
 from .textstats import LOWER, Words, mix
@@ -47,6 +50,10 @@ FREQUENT = 64
 CLASS_SPAN = 8
 #: Bounds of a block in which sets are verified.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 2_000_000
+#: Signatures of more sets are looked up by broadcast: the HOT_SIGNATURES most frequent of these, bounded whatever the data.
+LEAST_SHARED, HOT_SIGNATURES = 100, 1000
+#: A family of more blocks is verified by signatures, if its sets share fewer signatures on average than it has blocks.
+MOST_BLOCKS = 8
 SETS = "doc_id long, n_shingles long, k1 long, k2 long, common binary, signatures array<long>"
 
 
@@ -163,10 +170,13 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, id_col: str, text_col:
 
 
 def _verify(threshold: int):
-    """Links inside a block, or between its two parts: for each class the number of linked documents, and a spanning forest."""
+    """Links inside a block, or between its two parts: for each class (k1, k2) the number of linked rows, and a spanning forest (a, b) of smallest ids."""
 
     def run(table: pa.Table) -> pa.Table:
-        cid, n, weight, part = (table.column(c).to_numpy() for c in ("cid", "n_shingles", "n_docs", "part"))
+        cid, n, weight, part, k1, k2 = (table.column(c).to_numpy() for c in ("cid", "n_shingles", "n_docs", "part", "k1", "k2"))
+        by, shared = table.column("signature")[0].as_py(), None
+        if by is not None:
+            shared = [np.sort(np.array(x, np.int64)) for x in table.column("shared").to_pylist()]
         sets = [np.frombuffer(x, np.uint64) for x in table.column("common").to_pylist()]
         length = np.array([len(s) for s in sets])
         token, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -188,6 +198,8 @@ def _verify(threshold: int):
             if parts == 2:
                 ok &= part != part[x]
             found = np.flatnonzero(ok)
+            if shared is not None:  # other signatures' groups hold the pair too
+                found = np.array([y for y in found if np.intersect1d(shared[x], shared[y], assume_unique=True)[0] == by], np.int64)
             links[x] += weight[found].sum()
             links[found] += weight[x]
             for y in found:
@@ -201,7 +213,9 @@ def _verify(threshold: int):
                     a.append(cid[x])
                     b.append(cid[y])
         some = np.flatnonzero(links)
-        return pa.table({"a": pa.array([*cid[some], *a], pa.int64()), "b": pa.array([None] * len(some) + b, pa.int64()), "n": pa.array([*links[some], *([0] * len(a))], pa.int64())})
+        tree, none = len(a), len(some)
+        columns = {"a": [None] * none + a, "b": [None] * none + b, "k1": [*k1[some], *[None] * tree], "k2": [*k2[some], *[None] * tree], "n": [*links[some], *[0] * tree]}
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()})
 
     return run
 
@@ -215,32 +229,54 @@ def jaccard_components(docs: DataFrame, *, k: int, threshold: int, id_col: str =
     same = able.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("n_docs"))
     classes = common.materialize(able.join(same, ["k1", "k2"]).filter("doc_id = cid").dropDuplicates(["k1", "k2"]).select("k1", "k2", "cid", "n_docs", "n_shingles", "common", "signatures"), "classes")
 
-    keys = classes.select("cid", "k1", F.explode("signatures").alias("signature"))
+    keys = classes.select("cid", "k1", "k2", F.explode("signatures").alias("signature"))
     leaders = keys.groupBy("signature").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    meetings = keys.join(leaders, "signature").select(F.col("leader").alias("a"), F.col("cid").alias("b"), "k1").distinct()
-    meetings = common.materialize(meetings, "meetings")
-    families = connected(meetings.filter("a <> b").select("a", "b"))
-    family = classes.join(families.withColumnRenamed("node", "cid"), "cid", "left").withColumn("family", F.coalesce("label", "cid"))
-    extent = family.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("common") / 8).alias("tokens")).filter("sets > 1")
-    extent = extent.select("family", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = family.join(extent, "family").withColumn("part", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
+    leaders = common.materialize(leaders, "leaders")
+    hot = [r[0] for r in leaders.filter(F.col("n") > LEAST_SHARED).orderBy(F.desc("n")).limit(HOT_SIGNATURES).select("signature").collect()]
+    meetings = common.materialize(lookup_by(keys, "signature", leaders.drop("n"), hot).select("leader", "cid", "k1", "k2", "signature"), "meetings")
+    families = connected(meetings.filter("leader <> cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct())
+    family = classes.join(families.withColumnRenamed("node", "cid"), "cid", "left").withColumn("family", F.coalesce("label", "cid")).drop("label")
+    extent = family.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.length("common") / 8).alias("tokens"), F.avg(F.size("signatures")).alias("spread")).filter("sets > 1")
+    extent = extent.select("family", "spread", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    extent = common.materialize(extent, "extents")
+    wide = (F.col("blocks") > MOST_BLOCKS) & (F.col("spread") < F.col("blocks"))
+    columns = ["family", "cid", "k1", "k2", "n_shingles", "n_docs", "common"]
+    none = F.lit(None)
+    dealt = lookup_by(family.select(*columns), "family", extent.filter(~wide), hot_keys(family, "family")).select(*columns, none.cast("long").alias("signature"), none.cast("array<long>").alias("shared"), "blocks")
+    chained = extent.filter(wide).select("family")
+    if chained.limit(1).count():
+        met = meetings.groupBy("cid", "k1", "k2").agg(F.collect_list("signature").alias("shared"))  # a set's signatures are in proportion to its size
+        whole = family.select(*columns).join(F.broadcast(chained), "family", "left_semi").join(met.drop("cid"), ["k1", "k2"]).select("*", F.explode("shared").alias("signature"))  # fewer families than blocks
+        sizes = whole.groupBy("signature").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum(F.length("common") / 8) / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        dealt = dealt.unionByName(lookup_by(whole, "signature", sizes, hot).select(*columns, "signature", "shared", "blocks"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("part"), o).alias("i"), F.greatest(F.col("part"), o).alias("j")))
-    blocks = dealt.select("family", "cid", "n_shingles", "n_docs", "common", "part", F.explode(every).alias("ij")).select("*", F.when(F.col("ij.i") == F.col("ij.j"), 1).otherwise(2).alias("parts"))
-    found = common.materialize(blocks.groupBy("family", "ij").applyInArrow(_verify(threshold), "a long, b long, n long"), "links")
+    blocks = dealt.select("*", F.explode(every).alias("ij")).select("*", F.when(F.col("ij.i") == F.col("ij.j"), 1).otherwise(2).alias("parts"))
+    found = common.materialize(blocks.groupBy("family", "signature", "ij").applyInArrow(_verify(threshold), "a long, b long, k1 long, k2 long, n long"), "links")
 
-    label = connected(found.filter("b IS NOT NULL").select("a", "b"))
-    linked = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
+    # ids of several rows join the classes that these are in
+    repeated = sets.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    repeated = common.materialize(repeated, "repeated")
+    links = found.filter("b IS NOT NULL").select("a", "b")
+    some = repeated.limit(1).count() > 0
+    if some:
+        own = able.join(repeated, "doc_id", "left_semi").select("k1", "k2", F.col("doc_id").alias("b")).distinct()
+        links = links.unionByName(own.join(classes.select("k1", "k2", F.col("cid").alias("a")), ["k1", "k2"]).select("a", "b").filter("a <> b"))
+    label = connected(links)
+    linked = found.filter("b IS NULL").groupBy("k1", "k2").agg(F.sum("n").alias("others"))
     known = (
         classes.select("k1", "k2", "cid", "n_docs")
         .join(label.withColumnRenamed("node", "cid"), "cid", "left")
-        .join(linked.withColumnRenamed("a", "cid"), "cid", "left")
+        .join(linked, ["k1", "k2"], "left")
         .select("k1", "k2", F.coalesce("label", "cid").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("n_docs") - 1).alias("links"))
     )
-    return (
-        sets.select("doc_id", "n_shingles", "k1", "k2")
-        .join(known, ["k1", "k2"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
-    )
+    # only sets in a class are looked up: all others would meet under null keys
+    alone = sets.filter("k1 IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("links"))
+    out = sets.filter("k1 IS NOT NULL").select("doc_id", "n_shingles", "k1", "k2").join(known, ["k1", "k2"], "left").select("doc_id", "n_shingles", "component", "links").unionByName(alone)
+    if some:
+        of = repeated.join(label.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "label")
+        out = lookup_by(out, "doc_id", of, hot_keys(sets, "doc_id"), "left").withColumn("component", F.coalesce("label", "component"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("links").cast("long").alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

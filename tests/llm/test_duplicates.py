@@ -105,3 +105,44 @@ def test_empty_and_odd(none, odd, corpus):
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101)], "a long, b long")
     assert {r.node: r.label for r in connected(edges).collect()} == {k: 0 for k in range(51)} | {100: 100, 101: 100}
+
+
+def assert_components(spark, rows, k, t):
+    want, _ = brute_components(rows, k, t)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=k, threshold=t).collect()
+    assert len(got) == len(rows) and all(r.component_id == (None if r.doc_id is None else want[r.doc_id]) for r in got)
+    return got
+
+
+def test_rows_of_one_id_reach_what_any_of_them_links_with(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    near = b + " more"
+    got = assert_components(spark, [(5, a), (5, b), (3, a), (9, near), (9, "something else here"), (None, a), (11, ""), (11, a), (2, "alone in the world"), (2, None)], 4, 85)
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 3), (3, 3), (9, 3), (None, None), (11, 3), (2, 2)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_families_verified_by_signatures(spark, monkeypatch, seed):
+    """Small bounds make every family wide; links and their counts stay those of brute force."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
+    monkeypatch.setattr(ngram_join, "MOST_BLOCKS", 1)
+    monkeypatch.setattr(ngram_join, "LEAST_SHARED", 3)
+    rng = random.Random(seed)
+    rows = []
+    for d in range(60):
+        words = [f"w{k}" for k in range(24)]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(24)] = f"x{rng.randrange(30)}"
+        rows.append((rng.randrange(55), " ".join(words)))
+    got = assert_components(spark, rows, 1, 80)
+    sets = [set(t.split()) for _, t in rows]
+    links = Counter((i, sum(100 * len(x & y) >= 80 * len(x | y) for y in sets) - 1) for (i, _), x in zip(rows, sets, strict=True))
+    assert Counter((r.doc_id, r.n_links) for r in got) == links
+
+
+def test_components_of_a_star_and_its_copies(spark):
+    edges = spark.createDataFrame([(7, 1000 + k) for k in range(400)] + [(2000 + k, 1000 + k) for k in range(150)] + [(3, 2000)], "a long, b long")
+    got = {r.node: r.label for r in connected(edges).collect()}
+    assert len(got) == 552 and set(got.values()) == {3}
