@@ -58,6 +58,19 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores appended where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a unique number for each row, stored, so that all readers see the same numbers."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that the operators read, under fixed names."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -191,19 +191,44 @@ def _search(index: Index, batch: pa.RecordBatch) -> Iterator[tuple]:
         yield (ids[d], int(index.items[i]), *row)
 
 
+def indexes(items: DataFrame, most_words: int = MOST_WORDS) -> Iterator[Index]:
+    """Indexes of the test items (item_id, text), each of about ``most_words`` words."""
+    tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    total = tests.agg(F.sum(F.size(F.split("text", "[ \\t\\n\\x0B\\f\\r]+")))).first()[0] or 0
+    parts = max(1, -(-total // most_words))
+    for part in range(parts):
+        block = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # about most_words words
+        yield build_index([(r.item_id, r.text) for r in block])
+
+
+def keep(docs: DataFrame, items: DataFrame, *, text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that hold no test item; decided row by row, without a shuffle."""
+    at, spark = docs.columns.index(text_col), docs.sparkSession
+    for own in indexes(items, most_words):
+        index = spark.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in common.row_slices(whole, at, SLICE):
+                    held = np.zeros(batch.num_rows, bool)
+                    if len(index.value.items):
+                        texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["doc_id", "text"])
+                        held[[hit[0] for hit in _search(index.value, texts)]] = True
+                    yield batch.filter(pa.array(~held))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """SCHEMA: every document and test item (item_id, text) that it holds."""
     spark = docs.sparkSession
     rows = common.id_and_text(docs, id_col, text_col)
-    tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    total = tests.agg(F.sum(F.size(F.split("text", "[ \\t\\n\\x0B\\f\\r]+")))).first()[0] or 0
-    parts = max(1, -(-total // most_words))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = [pa.int64()] * 3 + [pa.float64()] * 4
     found = None
-    for part in range(parts):
-        block = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()  # about most_words words
-        index = spark.sparkContext.broadcast(build_index([(r.item_id, r.text) for r in block]))
+    for own in indexes(items, most_words):
+        index = spark.sparkContext.broadcast(own)
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
