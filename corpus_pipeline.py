@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``docs``. Stages decide row by row or by document id:
-rows with a null id are kept by the joins of the second and third stage.
+return the columns of ``docs``. Stages decide row by row: null and repeated ids
+are treated like any others, and rows of one id may go or stay each by itself.
 """
 
 from __future__ import annotations
@@ -22,27 +22,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked at five-word Jaccard 0.8."""
-    found = common.materialize(ngram_join.jaccard_components(docs, k=5, threshold=80).select("doc_id", "component_id"), "components")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
-    return kept
+    """One row of each group linked at five-word Jaccard 0.8: that with the smallest id, a null one last."""
+    row = common.fresh_name(docs, "row")
+    keyed = common.numbered(docs, row)
+    found = ngram_join.jaccard_components(keyed, k=5, threshold=80, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))).alias("least")
+    first = found.join(keyed.select(row, "doc_id"), row).groupBy("component_id").agg(least).select(F.col("least.row").alias(row))
+    return keyed.join(first, row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = decontaminate.find_leaks(docs, common.read_table(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.keep(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; their length follows."""
-    out = pii.pseudonymise(docs, "demonstration key", count_col="__replaced")
+    replaced = common.fresh_name(docs, "replaced")
+    out = pii.pseudonymise(docs, "demonstration key", count_col=replaced)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(replaced) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
