@@ -1,39 +1,44 @@
 """Toxicity by weak supervision (operator 10).
 
-1. Terms (words and 6-byte pieces of words, hashed) that mark toxic training
-   rows are found by a z-score over labelled training rows: all of them, or about
-   ``SAMPLE`` chosen by a hash of the id where there are more; together with a
-   short list of insults and a few patterns they are candidate voters.
-2. One pass over all documents counts how often any two candidates fire
-   together. Voters that nearly repeat another one are dropped.
-3. A generative label model explains the votes: a voter fires at one rate on
-   toxic and at another on clean texts, and abstains where it doesn't fire; a
-   text on which none fires gets the evidence of that silence. Rates come from
-   the labelled training rows where a voter was counted there, else from a
-   rank-one fit of the covariances of all documents. Covariance beyond what the
-   class explains makes two voters correlated, and they share their weight.
-   The class balance comes from the training labels.
+1. A lexicon is built: a short list of insults, and terms (words and 6-byte
+   pieces of words, hashed) whose z-score over labelled training rows (all of
+   them, or about ``SAMPLE`` ids chosen by a hash where there are more) is high
+   and that fire on few clean ones. Its entries are voters for the toxic class;
+   a few patterns vote too, for no class beforehand. Labels choose the voters,
+   their side and the class balance, nothing else.
+2. One pass over all documents gives the patterns of votes that occur and how
+   often each does. Voters that nearly repeat another one are dropped.
+3. A generative label model explains these patterns: a voter fires at one rate on
+   toxic and at another on clean texts. Expectation-maximisation over the votes
+   of all documents estimates the rates; no label is read. All lexicon voters
+   start from the same precision. Voters that fire together within a class more
+   often than their rates explain are correlated: they share their evidence,
+   and the rates are estimated once more.
 4. A linear classifier (logistic regression over the terms and patterns) is
-   trained on the posterior labels of the same rows.
+   trained on the posterior labels of about ``SAMPLE`` rows that are not held
+   out, labelled or not, by L-BFGS on gradients that executors add up.
 
-Only texts enter a score. Everything sent to the driver is bounded: terms by
-``TERMS``, moments by ``CANDIDATES`` squared, the sample by ``SAMPLE`` rows.
+Only texts enter a score. What comes to the driver is bounded: terms by
+``TERMS``, moments by ``CANDIDATES`` squared, sums by the voters or terms for
+each task; no features of documents do.
 
 Defined results: null and empty texts get the classifier's score of no term; if
 no labelled training row exists, or none of one class, all scores come from the
-label model's seed voters alone; a row with null ``doc_id`` is scored, not learned
-from, and counts as not held out; repeated rows are scored each by itself; other
-columns are ignored.
+seed words alone; ids whose labels disagree count by their majority, and not at
+all on a tie; a row with null ``doc_id`` is scored, not learned from, and counts
+as not held out; repeated rows are scored each by itself; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,8 +53,11 @@ BUCKETS = 1 << 22
 TERMS, CANDIDATES, VOTERS, SAMPLE = 2048, 256, 96, 60_000
 #: Shares of characters above which a pattern voter fires.
 PATTERNS = {"shouts": 0.5, "marks": 0.02, "symbols": 0.05}
-#: Share of toxic rows among the training rows where a mined voter fires.
+#: Share of toxic rows among the training rows where a mined voter fires, at least; the precision that all lexicon voters start from.
 PRECISION = 0.8
+#: Iterations of each of two rounds, and the correlation within a class from which voters share evidence.
+ITERATIONS, CORRELATED = 15, 0.3
+RIDGE = 0.1
 #: Log-odds of a seed word, used only where no labelled row is given.
 SEED_WEIGHT = 4.0
 SLICE = 1 << 20
@@ -133,7 +141,8 @@ def mine_terms(labelled: DataFrame, always: np.ndarray, most: int = TERMS) -> tu
                 one = np.unique(doc * BUCKETS + bucket)
                 for y in seen:
                     rows[y] += int((toxic == y).sum())
-                    seen[y] += np.bincount(one[toxic[one // BUCKETS] == y] % BUCKETS, minlength=BUCKETS).astype(np.int32)
+                    at, n = np.unique(one[toxic[one // BUCKETS] == y] % BUCKETS, return_counts=True)
+                    seen[y][at] += n.astype(np.int32)
         at = np.flatnonzero(seen[0] + seen[1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[1][at], rows[1]).astype(np.int64)), pa.array(np.append(seen[0][at], rows[0]).astype(np.int64))], names=["term", "n1", "n0"])
 
@@ -150,31 +159,73 @@ def mine_terms(labelled: DataFrame, always: np.ndarray, most: int = TERMS) -> tu
     return {r.term: (r.z, r.n1, r.n0) for r in [*best, *given]}, n1, n0
 
 
-def moments(docs: DataFrame, candidates: np.ndarray) -> tuple[np.ndarray, int]:
-    """(how often each two candidates fire together, rows) over all texts; pattern voters come last."""
-    width = len(candidates) + len(PATTERNS)
+def vote_patterns(docs: DataFrame, candidates: np.ndarray) -> DataFrame:
+    """pattern (bits of the candidates that fire, pattern voters last), n: how many of all texts have it; stored."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, rows = np.zeros((width, width)), 0
         for whole in batches:
             for batch in common.row_slices(whole, 0, SLICE):
-                f = fired(batch.column(0), candidates)
-                both += f.T @ f
-                rows += len(f)
-        at = np.append(np.flatnonzero(both), -1)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(np.append(both.reshape(-1)[at[:-1]], rows).astype(np.int64))], names=["cell", "n"])
+                bits, n = np.unique(np.packbits(fired(batch.column(0), candidates) > 0, axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(n.astype(np.int64))], names=["pattern", "n"])
 
-    cells = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    both, at, n = np.zeros(width * width), cells.column("cell").to_numpy(), cells.column("n").to_numpy()
-    both[at[at >= 0]] = n[at >= 0]
-    return both.reshape(width, width), int(n[at == -1].sum())
+    found = docs.select("text").mapInArrow(count, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return common.materialize(found, "votes")
+
+
+def _votes(batch: pa.RecordBatch, columns: np.ndarray, step: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(patterns x columns, how often each occurs) of a batch of patterns."""
+    raw, n = batch.column(0), batch.column(1).to_numpy()
+    for s in range(0, len(n), step):
+        bits = np.frombuffer(b"".join(raw.slice(s, step).to_pylist()), np.uint8).reshape(len(n[s : s + step]), -1)
+        yield np.unpackbits(bits, axis=1)[:, columns].astype(float), n[s : s + step].astype(float)
+
+
+def sums(patterns: DataFrame, columns: np.ndarray, of: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """Sum of the arrays (``width`` numbers) that ``of`` gives for votes and their numbers; one array a task comes to the driver."""
+    return _summed(patterns, lambda batch: sum((of(v, n) for v, n in _votes(batch, columns)), np.zeros(width)), width)
+
+
+def _summed(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], width: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())], names=["task", "sums"])
+
+    parts = sorted((r.task, bytes(r.sums)) for r in rows.mapInArrow(run, "task long, sums binary").collect())
+    return sum((np.frombuffer(x) for _, x in parts), np.zeros(width))
+
+
+def cells(patterns: DataFrame, columns: np.ndarray, of: Callable[[np.ndarray, np.ndarray], np.ndarray], count: int) -> np.ndarray:
+    """The same for many numbers: they are added up by a shuffle, and only the totals come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(count)
+        for batch in batches:
+            for v, n in _votes(batch, columns):
+                total += of(v, n)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["cell", "x"])
+
+    found = patterns.mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(count)
+    out[found.column("cell").to_numpy()] = found.column("x").to_numpy()
+    return out
+
+
+def moments(patterns: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """(how often each two candidates fire together, rows) over all texts."""
+    found = cells(patterns, np.arange(width), lambda v, n: np.append(((v * n[:, None]).T @ v).reshape(-1), n.sum()), width * width + 1)
+    return found[:-1].reshape(width, width), int(found[-1])
 
 
 @dataclass
 class LabelModel:
-    """Voters (columns of :func:`fired`), their rates of firing on either class, and how much correlated ones repeat each other.
+    """Voters (columns of :func:`fired`), their rates of firing on either class, and the correlations of those that repeat each other.
 
-    A voter that fires beside correlated ones counts once for all of them.
+    The evidence of a voter that fires is divided among it and the correlated
+    ones beside it, that of a silent one among those that are expected there.
     """
 
     voters: np.ndarray
@@ -185,9 +236,9 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """Probability of the toxic class, given texts x voters."""
-        fire = np.log(self.on_toxic / self.on_clean)
-        silence = max(-6.0, float(np.log((1 - self.on_toxic) / (1 - self.on_clean)) @ (1 / (1 + self.shared.sum(axis=1)))))
-        odds = np.log(self.balance / (1 - self.balance)) + (votes * fire / (1 + votes @ self.shared)).sum(axis=1) + silence * ~votes.any(axis=1)
+        fire, quiet = np.log(self.on_toxic / self.on_clean), np.log((1 - self.on_toxic) / (1 - self.on_clean))
+        silence = quiet / (1 + self.shared @ self.on_toxic)
+        odds = np.log(self.balance / (1 - self.balance)) + silence.sum() + (votes * (fire / (1 + votes @ self.shared) - silence)).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -203,72 +254,108 @@ def choose_voters(both: np.ndarray, rows: int, score: np.ndarray, most: int = VO
     return np.array(sorted(chosen), np.int64)
 
 
-def fit_label_model(both: np.ndarray, rows: int, voters: np.ndarray, balance: float, on_toxic: np.ndarray, on_clean: np.ndarray) -> LabelModel:
-    """Label model of the voters; rates that are not known (nan) come from a rank-one fit that leaves out correlated pairs."""
-    joint = both[np.ix_(voters, voters)] / max(1, rows)
-    p = np.diag(joint).copy()
-    cov = joint - np.outer(p, p)
-    m = len(voters)
-    use = ~np.eye(m, dtype=bool)
-    d = np.sqrt(np.maximum(p * (1 - p), 1e-12)) * 0.5
-    noise = np.sqrt(np.maximum(np.outer(p, p), 1e-12) / max(1, rows))
-    pairs: list[tuple[int, int]] = []
-    known = ~np.isnan(on_toxic)
-    spread_y = np.sqrt(balance * (1 - balance))
-    d = np.where(known, np.maximum((on_toxic - on_clean) * spread_y, 1e-9), d)
-    for _ in range(4):
-        for _ in range(60):  # alternating least squares on the pairs in use
-            d = np.where(known, d, np.maximum((use * cov) @ d / np.maximum(use @ (d * d), 1e-18), 1e-9) * 0.5 + d * 0.5)
-        z = np.where(use, (cov - np.outer(d, d)) / noise, 0)
-        odd = np.argwhere(np.triu(z > 6))
-        if not len(odd):
-            break
-        for i, j in odd:
-            use[i, j] = use[j, i] = False
-            pairs.append((int(i), int(j)))
-    gap = d / spread_y
-    high = np.clip(np.where(known, on_toxic, p + (1 - balance) * gap), 1e-4, 0.999)
-    low = np.clip(np.where(known, on_clean, p - balance * gap), 1e-5, 0.9)
-    high = np.maximum(high, low * 1.01)
-    shared = np.zeros((m, m))
-    spread = np.sqrt(np.maximum(np.outer(p * (1 - p), p * (1 - p)), 1e-18))
-    for i, j in pairs:
-        shared[i, j] = shared[j, i] = min(1.0, max(0.0, (cov[i, j] - d[i] * d[j]) / spread[i, j]))
-    return LabelModel(voters, balance, high, low, shared)
-
-
-def logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights and intercept of a ridge logistic regression on soft labels, by Newton steps with conjugate gradients.
-
-    Features are 1 at (rows, columns) and 0 elsewhere.
+def fit_label_model(patterns: DataFrame, voters: np.ndarray, lexicon: np.ndarray, balance: float, rate: np.ndarray, iterations: int = ITERATIONS, least: float = CORRELATED) -> LabelModel:
+    """Label model of the voters by expectation-maximisation over all patterns, without labels.
+
+    ``lexicon`` says which voters start as voters for the toxic class, ``rate``
+    how often each fires; ``balance`` stays.
     """
-    ahead = lambda w: np.bincount(rows, w[columns], len(y)) + w[-1]
-    back = lambda v: np.append(np.bincount(columns, v[rows], width), v.sum())
-    w = np.zeros(width + 1)
-    w[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
+    m = len(voters)
+    high = np.where(lexicon, PRECISION * rate / balance, rate)
+    low = np.where(lexicon, (1 - PRECISION) * rate / (1 - balance), rate)
+    model = LabelModel(voters, balance, np.clip(high, 1e-4, 0.95), np.clip(low, 1e-6, 0.9), np.zeros((m, m)))
+    if not m:
+        return model
+
+    def expected(votes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        g = model.posterior(votes) * n
+        return np.concatenate([[g.sum(), n.sum()], g @ votes, n @ votes])
+
+    def together(votes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        g = model.posterior(votes) * n
+        return np.concatenate([((votes * x[:, None]).T @ votes).reshape(-1) for x in (g, n - g)] + [[g.sum(), n.sum() - g.sum()]])
+
+    for turn in range(2):
+        for _ in range(iterations):
+            toxic, rows, *fires = np.split(sums(patterns, voters, expected, 2 + 2 * m), [1, 2, 2 + m])
+            was = model.on_toxic
+            high = (fires[0] + 0.5 * rate) / (toxic + 0.5)
+            low = (fires[1] - fires[0] + 0.5 * rate) / (rows - toxic + 0.5)
+            model = LabelModel(voters, balance, np.clip(high, 1e-6, 0.99), np.clip(low, 1e-6, 0.99), model.shared)
+            if np.abs(model.on_toxic - was).max() < 1e-4:
+                break
+        if not turn:
+            found = cells(patterns, voters, together, 2 * m * m + 2)
+            shared = np.zeros((m, m))
+            for both, rows, a in zip(found[: 2 * m * m].reshape(2, m, m), found[2 * m * m :], (model.on_toxic, model.on_clean), strict=True):
+                cov = both / max(rows, 1) - np.outer(a, a)
+                spread = np.sqrt(a * (1 - a))
+                phi = cov / np.maximum(np.outer(spread, spread), 1e-9)
+                sure = cov * rows > 6 * np.sqrt(np.maximum(np.outer(a, a) * rows, 1))
+                shared = np.maximum(shared, np.where(sure & (phi > least), np.minimum(phi, 1), 0))
+            np.fill_diagonal(shared, 0)
+            if not shared.any():
+                break
+            model = LabelModel(voters, balance, model.on_toxic, model.on_clean, shared)
+    return model
+
+
+def lbfgs(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, steps: int = 40, memory: int = 8, tolerance: float = 1e-4) -> np.ndarray:
+    """Weights after at most ``steps`` steps of L-BFGS with backtracking; ``loss`` gives value and gradient."""
+    value, gradient = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    scale = max(1.0, float(np.abs(gradient).max()))
     for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(ahead(w), -30, 30)))
-        gradient = back(q - y) + penalty * w
-        if np.abs(gradient).max() < 1e-6 * max(1, len(y)):
+        if np.abs(gradient).max() < tolerance * scale:
             break
-        curve = np.maximum(q * (1 - q), 1e-6)
-        step, r = np.zeros_like(w), gradient.copy()
-        direction, rr = r.copy(), r @ r
-        for _ in range(40):
-            hd = back(curve * ahead(direction)) + penalty * direction
-            a = rr / max(direction @ hd, 1e-30)
-            step += a * direction
-            r -= a * hd
-            new = r @ r
-            if new < 1e-8 * (gradient @ gradient):
+        way, turns = -gradient, []
+        for s, y in reversed(past):
+            a = s @ way / (s @ y)
+            way = way - a * y
+            turns.append(a)
+        way = way * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / scale)
+        for (s, y), a in zip(past, reversed(turns), strict=True):
+            way = way + (a - y @ way / (s @ y)) * s
+        size, slope = 1.0, gradient @ way
+        for _ in range(12):
+            new = w + size * way
+            new_value, new_gradient = loss(new)
+            if new_value <= value + 1e-4 * size * slope:
                 break
-            direction, rr = r + new / rr * direction, new
-        w = w - step
+            size /= 2
+        else:
+            break
+        if (new_gradient - gradient) @ (new - w) > 1e-12:
+            past = [*past[1 - memory :], (new - w, new_gradient - gradient)]
+        w, value, gradient = new, new_value, new_gradient
     return w
 
 
+def logistic(rows: DataFrame, width: int, ridge: float = RIDGE) -> np.ndarray:
+    """Weights and intercept of a ridge logistic regression on stored rows (features: packed bits, posterior: soft labels)."""
+
+    def part(w: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        total = np.zeros(width + 2)
+        raw, y = batch.column(0), batch.column(1).to_numpy()
+        for s in range(0, len(y), 2048):
+            x = np.unpackbits(np.frombuffer(b"".join(raw.slice(s, 2048).to_pylist()), np.uint8).reshape(len(y[s : s + 2048]), -1), axis=1)
+            row, column = np.nonzero(x[:, :width])
+            odds = np.bincount(row, w[column], len(x)) + w[-1]
+            rest = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y[s : s + 2048]
+            total[:width] += np.bincount(column, rest[row], width)
+            total[width:] += rest.sum(), (np.logaddexp(0, odds) - y[s : s + 2048] * odds).sum()
+        return total
+
+    penalty = np.append(np.full(width, ridge), 1e-6)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        found = _summed(rows, lambda batch: part(w, batch), width + 2)
+        return float(found[-1] + (penalty * w * w).sum() / 2), found[:-1] + penalty * w
+
+    mean = rows.agg(F.avg("posterior")).first()[0]
+    return lbfgs(loss, np.append(np.zeros(width), np.log((mean + 1e-6) / (1 - mean + 1e-6))))
+
+
 @dataclass
 class Classifier:
     terms: np.ndarray
@@ -280,50 +367,49 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[str, ...] = SEEDS, sample: int = SAMPLE) -> Classifier:
-    """Classifier from all ``docs`` (their texts) and the ``labels`` (doc_id, toxic) of rows to learn from."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[str, ...] = SEEDS, sample: int = SAMPLE, held_out: Column | None = None) -> Classifier:
+    """Classifier from all ``docs`` (their texts) and the ``labels`` (doc_id, toxic) of rows to learn from; it is not fitted on rows that ``held_out`` marks."""
     rows = common.id_and_text(docs, id_col, text_col)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    known = known.groupBy("doc_id").agg(F.avg("toxic").alias("share")).filter("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("toxic"))
     part = min(1.0, sample / max(1, known.count()))
     if part < 1:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
     training = rows.join(F.broadcast(known), "doc_id").filter("text IS NOT NULL").select("text", "toxic")  # about ``sample`` ids at most
     seed = word_buckets(seeds)
     found, n1, n0 = mine_terms(training, seed)
-    balance = min(max(n1 / max(1, n1 + n0), 0.005), 0.5)
+    balance = min(max((n1 or 0) / max(1, (n1 or 0) + (n0 or 0)), 0.005), 0.5)
     mined = np.array(sorted(found, key=lambda t: (-found[t][0], t)), np.int64)
     precise = np.array([t for t in mined if found[t][1] >= PRECISION * (found[t][1] + found[t][2])], np.int64)
     candidates = np.unique(np.concatenate([seed, precise[:CANDIDATES]]))
-    both, total = moments(rows, candidates)
+    patterns = vote_patterns(rows, candidates)
+    both, total = moments(patterns, len(candidates) + len(PATTERNS))
     voters = choose_voters(both, total, np.array([found[int(c)][0] if int(c) in found else 1.0 for c in candidates] + [0.5] * len(PATTERNS)))
-    rates = np.full((2, len(candidates) + len(PATTERNS)), np.nan)
-    for k, c in enumerate(candidates):
-        if int(c) in found:
-            _, t1, t0 = found[int(c)]
-            rates[:, k] = (t1 + 0.5) / (n1 + 1), (t0 + 0.5) / (n0 + 1)
-    model = fit_label_model(both, total, voters, balance, *rates[:, voters])
+    model = fit_label_model(patterns, voters, voters < len(candidates), balance, np.diag(both)[voters] / max(1, total))
+    common.drop_table(docs.sparkSession, patterns)
 
     terms = np.unique(np.concatenate([candidates, mined]))
     at = np.searchsorted(terms, candidates)
     columns = np.concatenate([at, len(terms) + np.arange(len(PATTERNS))])[voters].astype(np.int64)
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in common.row_slices(whole, 0, SLICE):
-                f = fired(batch.column(0), terms)
-                votes = model.posterior(f[:, columns])
-                yield pa.RecordBatch.from_arrays([pa.array([np.flatnonzero(r).astype(np.int32) for r in f], pa.list_(pa.int32())), pa.array(votes)], names=["fired", "posterior"])
-
-    got = training.select("text").mapInArrow(features, "fired array<int>, posterior double").toArrow()
     width = len(terms) + len(PATTERNS)
-    if not got.num_rows:
+    if not n1 or not n0:
         weights = np.zeros(width + 1)
         weights[np.searchsorted(terms, np.unique(seed))] = SEED_WEIGHT
-        weights[columns] = np.log(model.on_toxic / model.on_clean)
         weights[-1] = -SEED_WEIGHT
         return Classifier(terms, weights, model)
-    lists = got.column("fired").combine_chunks()
-    owner = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()))
-    return Classifier(terms, logistic(owner, lists.flatten().to_numpy(), got.column("posterior").to_numpy(), width), model)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.row_slices(whole, 0, SLICE):
+                f = fired(batch.column(0), terms)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in np.packbits(f > 0, axis=1)], pa.binary()), pa.array(model.posterior(f[:, columns]))], names=["features", "posterior"])
+
+    own = docs if held_out is None else docs.filter(~F.coalesce(held_out, F.lit(False)))
+    chosen = common.id_and_text(own, id_col, text_col).filter("doc_id IS NOT NULL AND text IS NOT NULL").filter(F.rand(7) < min(1.0, sample / max(1, total))).select("text")
+    fitted = common.materialize(chosen.mapInArrow(features, "features binary, posterior double"), "features")
+    classifier = Classifier(terms, logistic(fitted, width) if fitted.limit(1).count() else np.zeros(width + 1), model)
+    common.drop_table(docs.sparkSession, fitted)
+    return classifier
 
 
 def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,5 +441,5 @@ def keep(docs: DataFrame, classifier: Classifier, threshold: float = 0.5, text_c
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 10 over all documents."""
     docs = common.read_table(spark, sf_dir, "documents")
-    classifier = train(docs, common.read_table(spark, sf_dir, "labels").filter(fold() != 0))
+    classifier = train(docs, common.read_table(spark, sf_dir, "labels").filter(fold() != 0), held_out=fold() == 0)
     return score(docs, classifier).select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
