@@ -2,7 +2,7 @@
 
 Built-in DataFrame functions only. Candidates are cut out of a text by one
 pattern, validated (Luhn digits of cards, octets of addresses, calendar dates,
-ranges of social security numbers), permuted by a keyed Feistel network within
+ranges of social security numbers, area and exchange codes), permuted by a keyed Feistel network within
 their own format, and put back. The permutation is a bijection of the format's
 domain, so equal values get equal pseudonyms in all documents and different
 values stay different; a network's round function is SHA-256 under the key.
@@ -11,17 +11,24 @@ values stay different; a network's round function is SHA-256 under the key.
 kind         domain                                                halves
 ===========  ====================================================  =====================
 card         digits between the first and the Luhn digit           powers of ten
-phone        ten digits                                            10^5 x 10^5
+phone        numbers whose area and exchange codes open alike      100n x 10^6 m
+             (with 2 to 9, as such a code must, or with 0 or 1)    (n, m: 8 or 2)
 address      IPv4 as 32 bits                                       2^16 x 2^16
 ssn          898 areas x 99 groups x 9999 serials                  29634 x 29997
 date         the 146,097 days of the years 1800 to 2199            189 x 773
 mail         letters and digits of the local part, class by class  front and back half
 ===========  ====================================================  =====================
 
+Phone numbers that no exchange can have (codes that open with 0 or 1) get
+pseudonyms of the same kind, and possible ones possible ones. Account numbers
+with a check by remainder of 97 and numbers of other countries' forms stay. The
+key is a literal of the plan, so a log of plans holds it.
+
 Defined results: null stays null with no replacement; a candidate that fails
 its validation, and any other text, stays unchanged to the character; repeated
-rows give repeated rows; other columns are kept, whatever their names; an empty
-table stays empty.
+rows give repeated rows; other columns are kept, whatever their names: the count
+comes last and has underscores appended to its name where that is taken (in any
+case of letters); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -37,8 +44,13 @@ PHONE = r"(?:[+]1[ -]?)?(?:[(][0-9]{3}[)] ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[.][0-9]{2}[.][0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IPV4 = r"(?:[0-9]{1,3}[.]){3}[0-9]{1,3}"
-CARD = r"[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{13,19}"
-CANDIDATE = rf"{EMAIL}|(?<![A-Za-z0-9+])(?<![0-9][.-])(?=[0-9+(])(?:{PHONE}|{DATE}|{SSN}|{IPV4}|{CARD})(?![A-Za-z0-9])(?![.-][0-9])"
+CARD = r"[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5}|[0-9]{13,19}"
+NUMBER = rf"(?=[0-9+(])(?<![A-Za-z0-9+])(?<![0-9][.-])(?:{PHONE}|{DATE}|{SSN}|{IPV4}|{CARD})(?![A-Za-z0-9])(?![.-][0-9])"
+CANDIDATE = rf"{EMAIL}|{NUMBER}"
+#: Set around candidates; texts that hold it are cut another way.
+MARK = "\u0001"
+#: Characters of a mail name that one digest shifts.
+AT_ONCE = 20
 
 #: Days from 1800-01-01 to 1970-01-01, and in 400 years.
 EPOCH, DAYS = 62_091, 146_097
@@ -71,10 +83,20 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _refill(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced in order."""
-    at = F.sequence(F.lit(1), F.length(form))
-    return F.array_join(F.transform(at, lambda i: F.when(F.substr(form, i, F.lit(1)).rlike("[0-9]"), F.substr(digits, F.length(_digits(F.substr(form, F.lit(1), i))), F.lit(1))).otherwise(F.substr(form, i, F.lit(1)))), "")
+    start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"))
+
+    def put(s: Column, c: Column) -> Column:
+        digit = F.struct(F.concat(s["text"], F.substr(digits, s["next"], F.lit(1))).alias("text"), (s["next"] + 1).alias("next"))
+        return F.when(c.between("0", "9"), digit).otherwise(F.struct(F.concat(s["text"], c).alias("text"), s["next"].alias("next")))
+
+    return F.aggregate(F.split(form, "", -1), start, put, lambda s: s["text"])
 
 
 def _padded(value: Column, width: Column | int) -> Column:
@@ -106,10 +128,17 @@ def card(text: Column, key: str) -> Column:
 
 
 def phone(text: Column, key: str) -> Column:
+    """Ten digits: area, exchange, line; an area or exchange code that opens with 2 to 9 keeps to these, another to 0 and 1."""
     d = _digits(text)
-    ten = F.substr(d, F.length(d) - 9, F.lit(10))
-    mixed = _padded(feistel(ten.cast("long"), F.lit(100_000), F.lit(100_000), key, F.lit("phone")), 10)
-    return _refill(text, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), mixed))
+    part = lambda a, n: F.substr(d, F.length(d) - 10 + a, F.lit(n)).cast("long")
+    area, exchange, line = part(1, 3), part(4, 3), part(7, 4)
+    least = lambda code: F.when(code >= 200, 200).otherwise(0).cast("long")
+    codes = lambda code: F.when(code >= 200, 800).otherwise(200).cast("long")
+    width = codes(exchange) * 10_000
+    index = (area - least(area)) * width + (exchange - least(exchange)) * 10_000 + line
+    mixed = feistel(index, codes(area), width, key, F.concat(F.lit("phone"), least(area).cast("string"), F.lit("-"), least(exchange).cast("string")))
+    new = _bound(mixed, lambda m: F.concat(_padded(_div(m, width) + least(area), 3), _padded(_div(m % width, 10_000) + least(exchange), 3), _padded(m % 10_000, 4)))
+    return _refill(text, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new))
 
 
 def address(text: Column, key: str) -> Column:
@@ -151,13 +180,20 @@ def mail(text: Column, key: str) -> Column:
     half = F.floor(F.length(local) / 2).cast("int")
 
     def shifted(part: Column, other: Column, turn: Column) -> Column:
-        def letter(j: Column) -> Column:
-            c = F.substr(part, j, F.lit(1))
-            by = _digest(key, F.concat_ws("|", F.lit("mail"), j.cast("string"), F.length(part).cast("string")), turn, other)
-            move = lambda base, n: F.char(base + (F.ascii(c) - base + by % n) % n)
-            return F.when(c.rlike("[a-z]"), move(97, 26)).when(c.rlike("[A-Z]"), move(65, 26)).when(c.rlike("[0-9]"), move(48, 10)).otherwise(c)
+        n = F.length(part)
+        digest = lambda b: F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), n.cast("string"), b.cast("string"), turn.cast("string"), other, F.lit(key)), 256)
+
+        def letters(digests: Column) -> Column:
+            def letter(j: Column) -> Column:
+                c = F.substr(part, j + 1, F.lit(1))
+                by = F.conv(F.substr(digests[_div(j, AT_ONCE).cast("int")], 3 * (j % AT_ONCE) + 1, F.lit(3)), 16, 10).cast("int")
+                move = lambda base, n: F.char(base + (F.ascii(c) - base + by) % n)
+                return F.when(c.between("a", "z"), move(97, 26)).when(c.between("A", "Z"), move(65, 26)).when(c.between("0", "9"), move(48, 10)).otherwise(c)
 
-        return F.when(F.length(part) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(part)), letter), "")).otherwise(part)
+            return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), letter), "")
+
+        blocks = F.transform(F.sequence(F.lit(0), _div(n - 1, AT_ONCE).cast("int")), digest)
+        return F.when(n > 0, _bound(blocks, letters)).otherwise(part)
 
     start = F.struct(F.substr(local, F.lit(1), half).alias("l"), F.substr(local, half + 1, F.length(local)).alias("r"))
 
@@ -179,28 +215,21 @@ def pseudonym(text: Column, key: str) -> Column:
     )
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def pseudonymise(df: DataFrame, key: str, *, text_col: str = "text", count_col: str = "n_replaced") -> DataFrame:
-    """``df`` with pseudonyms in ``text_col`` and, under ``count_col``, how many values were replaced."""
-    found, new = fresh(df, "__found"), fresh(df, "__new")
-    text = F.col(text_col)
-    gaps = F.split(text, CANDIDATE, -1)
-    filled = F.array_join(F.zip_with(gaps, F.concat(F.col(new), F.array(F.lit(""))), lambda g, e: F.concat(g, e)), "")
-    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
-    kept = [F.col(f"`{c}`") if c != text_col else F.when(F.size(found) > 0, filled).otherwise(text).alias(c) for c in df.columns if c != count_col]
-    return (
-        df.withColumn(found, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
-        .withColumn(new, F.transform(found, lambda e: pseudonym(e, key)))
-        .select(*kept, F.coalesce(changed, F.lit(0)).cast("long").alias(count_col))
-        .withColumn(count_col, F.greatest(count_col, F.lit(0)))
-    )
+    """``df`` with pseudonyms in ``text_col`` and, in a last column ``count_col``, how many values were replaced."""
+    parts, new, count = (common.fresh_name(df, c) for c in ("__parts", "__new", count_col))
+    text = F.col(f"`{text_col}`")
+    pattern = F.when(text.contains("@"), F.lit(CANDIDATE)).otherwise(F.lit(NUMBER))
+    marked = F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    gaps, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    # gaps and candidates in turn
+    other = F.flatten(F.zip_with(gaps, found, lambda g, e: F.when(e.isNull(), F.array(g)).otherwise(F.array(g, e))))
+    cut = F.when(text.rlike("[0-9@]"), F.when(text.contains(MARK), other).otherwise(marked))
+    own = F.transform(parts, lambda e, k: F.when(k % 2 == 1, pseudonym(e, key)).otherwise(e))
+    changed = F.size(F.filter(F.zip_with(parts, new, lambda a, b: a != b), lambda x: x))
+    kept = [F.col(f"`{c}`") if c != text_col else F.when(F.size(parts) > 1, F.array_join(new, "")).otherwise(text).alias(c) for c in df.columns]
+    replaced = F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long").alias(count)
+    return df.withColumn(parts, cut).withColumn(new, F.when(F.size(parts) > 1, own)).select(*kept, replaced)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ latest earlier full response of the same canonical URL. The as-of join works on
 keys only and in two levels, so that a URL with any share of all records is
 spread out: inside one (URL, day) by a window, and between days by the last
 response of each earlier day. Bodies are joined once, by record id, to the
-revisits that resolved.
+revisits that resolved; those of popular responses are dealt over SALTS copies
+of the body.
 
 Validators decide whether the response found is the one meant: entity tags by
 weak comparison where both records have one, else Last-Modified, else payload
@@ -15,7 +16,9 @@ permitted to carry; all others come from the stored response.
 Defined results: a null URL or date never resolves (``no_key``); no earlier
 response: ``no_response``; nothing to compare: ``no_validator``; different:
 ``changed``; else ``resolved``. Equal dates stand in the order of record ids.
-Repeated rows are resolved each by itself. Null headers are empty. An empty
+Revisit rows that repeat a record id are resolved each by itself; of response
+rows that repeat one, that with the least (date, etag, digest, payload) gives the
+body, and one without an id gives none. Null headers are empty. An empty
 table gives no rows; other columns are ignored.
 """
 
@@ -24,8 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graphs import hot_keys
 from . import common
 
+#: Copies of the body of a popular response.
+SALTS = 32
 #: Fields that a 304 answer updates in a stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified")
 TRACKING = "^(utm_[a-z]+|gclid|fbclid)(=|$)"
@@ -46,13 +52,14 @@ def _strong(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def latest_response(records: DataFrame) -> DataFrame:
+def latest_response(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every revisit of (record_id, url, date, type, etag, last_modified, digest) with the key fields of its as-of response.
 
-    ``base`` is a struct (date, record_id, etag, last_modified, digest) or null.
+    ``base`` is a struct (date, record_id, etag, last_modified, digest) or null;
+    ``keep`` names more columns that stay with a revisit.
     """
     keyed = records.select(
-        "record_id", "date", "etag", "last_modified", "digest", canonical_url(F.col("url")).alias("canonical_url"), (F.col("type") == "revisit").alias("is_revisit"),
+        "record_id", "date", "etag", "last_modified", "digest", *keep, canonical_url(F.col("url")).alias("canonical_url"), (F.col("type") == "revisit").alias("is_revisit"),
         F.floor(F.unix_timestamp("date") / DAY).alias("day"),
     )
     full = F.when(~F.col("is_revisit"), F.struct("date", "record_id", "etag", "last_modified", "digest"))
@@ -63,7 +70,7 @@ def latest_response(records: DataFrame) -> DataFrame:
     days = Window.partitionBy("canonical_url").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     last = rows.groupBy("canonical_url", "day").agg(F.max("full").alias("full")).select("canonical_url", "day", F.last("full", ignorenulls=True).over(days).alias("before"))
     found = inside.join(last, ["canonical_url", "day"], "left").withColumn("base", F.coalesce("base", "before"))
-    columns = ["record_id", "date", "etag", "last_modified", "digest", "canonical_url"]
+    columns = ["record_id", "date", "etag", "last_modified", "digest", "canonical_url", *keep]
     none = keyed.filter(~known & F.col("is_revisit")).select(*columns, F.lit(None).cast(found.schema["base"].dataType).alias("base"))
     return found.select(*columns, "base").unionByName(none)
 
@@ -81,38 +88,64 @@ def resolve(records: DataFrame) -> DataFrame:
         .when(F.col("digest").isNotNull() & base["digest"].isNotNull(), F.col("digest") == base["digest"])
     )
     status = F.when(F.col("canonical_url").isNull() | F.col("date").isNull(), "no_key").when(base.isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("changed")
-    joined = latest_response(records).withColumn("status", status).withColumn("base_id", F.when(F.col("status") == "resolved", base["record_id"]))
     empty = F.create_map().cast("map<string,string>")
-    bodies = records.filter(F.col("type") == "response").select(F.col("record_id").alias("base_id"), F.coalesce("headers", empty).alias("stored"), "payload")
-    fresh = records.filter(F.col("type") == "revisit").select("record_id", F.map_filter(F.coalesce("headers", empty), lambda k, _: F.lower(k).isin(*PERMITTED)).alias("fresh"))
-    out = joined.join(fresh.dropDuplicates(["record_id"]), "record_id", "left").join(bodies.dropDuplicates(["base_id"]), "base_id", "left")
+    permitted = F.map_filter(F.coalesce("headers", empty), lambda k, _: F.lower(k).isin(*PERMITTED))
+    asked = records.select("record_id", "url", "date", "type", "etag", "last_modified", "digest", F.when(F.col("type") == "revisit", permitted).alias("fresh"))
+    found = latest_response(asked, ("fresh",)).withColumn("status", status).withColumn("base_id", F.when(F.col("status") == "resolved", base["record_id"]))
+    found = common.materialize(found.select("record_id", "canonical_url", "base_id", "status", "fresh"), "revisits")
+    least = F.min_by(F.struct(F.coalesce("headers", empty).alias("stored"), "payload"), F.struct("date", "etag", "digest", "payload")).alias("body")
+    bodies = records.filter((F.col("type") == "response") & F.col("record_id").isNotNull()).groupBy(F.col("record_id").alias("base_id")).agg(least)
+    met = found.filter("base_id IS NOT NULL")
+    if popular := hot_keys(met, "base_id"):
+        often = F.col("base_id").isin(popular)
+        salted = met.filter(often).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)))
+        copies = bodies.filter(often).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        out = met.filter(~often).join(bodies, "base_id").unionByName(salted.join(copies, ["base_id", "salt"]).drop("salt"))
+    else:
+        out = met.join(bodies, "base_id")
     names = F.transform(F.map_keys("fresh"), lambda k: F.lower(k))
-    kept = F.map_filter("stored", lambda k, _: ~F.array_contains(names, F.lower(k)))
-    return out.select("record_id", "canonical_url", "base_id", "status", F.when(F.col("status") == "resolved", F.map_concat(kept, F.col("fresh"))).alias("headers"), "payload")
+    kept = F.map_filter("body.stored", lambda k, _: ~F.array_contains(names, F.lower(k)))
+    resolved = out.select("record_id", "canonical_url", "base_id", "status", F.map_concat(kept, F.col("fresh")).alias("headers"), F.col("body.payload").alias("payload"))
+    rest = found.filter("base_id IS NULL").select("record_id", "canonical_url", "base_id", "status", F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast(resolved.schema["payload"].dataType).alias("payload"))
+    return resolved.unionByName(rest)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
     """Archive records of a table of pages: its responses, and revisits of three kinds.
 
     Page p is fetched at minute p. Even pages are met again a day later under
-    another form of the URL with the same tag; every fifth two days later with
-    another tag; every seventh has a revisit before its response.
+    another form of the URL with the same validator (every eleventh page without
+    any); every fifth two days later with another one; every seventh has a
+    revisit before its response. Validators are entity tags, dates of change and
+    digests in turn.
     """
-    page = pages.select(F.col("page_id").cast("long").alias("p"), "url", F.col("html").alias("payload"), F.concat(F.lit('"'), F.md5("html"), F.lit('"')).alias("tag"))
+    p = F.col("page_id").cast("long")
+    mark = F.md5("html")
+    validators = [("etag", F.concat(F.lit('"'), mark, F.lit('"')), '"other"'), ("last_modified", F.concat(F.lit("modified "), p.cast("string")), "modified never"), ("digest", F.concat(F.lit("sha1:"), mark), "sha1:other")]
+    own = [F.when(p % 3 == n, v).alias(c) for n, (c, v, _) in enumerate(validators)]
+    page = pages.select(p.alias("p"), "url", F.col("html").alias("payload"), *own)
     minute = F.col("p") * 60
     length = F.length("payload").cast("string")
+    none = F.lit(None).cast("string")
+
+    def record(k: int, kind: str, url: Column, seconds: Column, headers: dict[str, Column | str], **other: Column) -> Column:
+        pairs = [x if isinstance(x, Column) else F.lit(x) for item in headers.items() for x in item]
+        fields = [other.get(c, F.col(c)).alias(c) for c, _, _ in validators]
+        return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("type"), url.alias("u"), seconds.alias("s"), *fields, F.create_map(*pairs).alias("headers"))
+
+    weak = {c: F.when(F.col("p") % 11 != 0, F.concat(F.lit("W/"), F.col(c)) if c == "etag" else F.col(c)) for c, _, _ in validators}
+    changed = {c: F.when(F.col(c).isNotNull(), F.lit(o)).otherwise(none) for c, _, o in validators}
     kinds = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit("response").alias("type"), F.col("url").alias("u"), minute.alias("s"), F.col("tag").alias("etag"), F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), length, F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers")),
-        F.struct(F.lit(1).alias("k"), F.lit("revisit").alias("type"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("u"), (minute + DAY).alias("s"), F.concat(F.lit("W/"), F.col("tag")).alias("etag"), F.create_map(F.lit("cache-control"), F.lit("max-age=120"), F.lit("Content-Length"), F.lit("0")).alias("headers")),
-        F.struct(F.lit(2).alias("k"), F.lit("revisit").alias("type"), F.col("url").alias("u"), (minute + 2 * DAY).alias("s"), F.lit('"other"').alias("etag"), F.create_map(F.lit("Expires"), F.lit("0")).alias("headers")),
-        F.struct(F.lit(3).alias("k"), F.lit("revisit").alias("type"), F.col("url").alias("u"), (minute - 30).alias("s"), F.col("tag").alias("etag"), F.create_map(F.lit("Expires"), F.lit("0")).alias("headers")),
-    )
+        record(0, "response", F.col("url"), minute, {"Content-Type": "text/html", "Content-Length": length, "Cache-Control": "max-age=60"}),
+        record(1, "revisit", F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")), minute + DAY, {"cache-control": "max-age=120", "Content-Length": "0"}, **weak),
+        record(2, "revisit", F.col("url"), minute + 2 * DAY, {"Expires": "0"}, **changed),
+        record(3, "revisit", F.col("url"), minute - 30, {"Expires": "0"}),
+    )
     wanted = F.filter(kinds, lambda r: (r["k"] == 0) | ((r["k"] == 1) & (F.col("p") % 2 == 0)) | ((r["k"] == 2) & (F.col("p") % 5 == 0)) | ((r["k"] == 3) & (F.col("p") % 7 == 0)))
     rows = page.select("p", "payload", F.explode(wanted).alias("r"))
-    none = F.lit(None).cast("string")
     return rows.select(
-        (F.col("p") * 4 + F.col("r.k")).alias("record_id"), F.col("r.u").alias("url"), F.timestamp_seconds("r.s").alias("date"), F.col("r.type").alias("type"), F.col("r.etag").alias("etag"), none.alias("last_modified"), none.alias("digest"),
-        F.col("r.headers").alias("headers"), F.when(F.col("r.type") == "response", F.col("payload")).alias("payload"),
+        (F.col("p") * 4 + F.col("r.k")).alias("record_id"), F.col("r.u").alias("url"), F.timestamp_seconds("r.s").alias("date"), F.col("r.type").alias("type"),
+        "r.etag", "r.last_modified", "r.digest", F.col("r.headers").alias("headers"), F.when(F.col("r.type") == "response", F.col("payload")).alias("payload"),
     )
 
 
@@ -125,12 +158,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH page AS (
-  SELECT page_id AS p, url, html, '"' || md5(html) || '"' AS tag FROM pages
+  SELECT page_id AS p, url, html, CASE WHEN page_id % 3 = 0 THEN '"' || md5(html) || '"' END AS tag,
+    CASE WHEN page_id % 3 = 1 THEN 'modified ' || page_id END AS lm, CASE WHEN page_id % 3 = 2 THEN 'sha1:' || md5(html) END AS dig FROM pages
 ), records AS (
-  SELECT p*4 AS record_id, url, p*60 AS s, true AS is_full, tag AS etag, 'cache-control=max-age=60' AS cc, html FROM page
-  UNION ALL SELECT p*4+1, regexp_replace(url, '#.*$', '') || '#again', p*60+86400, false, 'W/' || tag, NULL, NULL FROM page WHERE p % 2 = 0
-  UNION ALL SELECT p*4+2, url, p*60+172800, false, '"other"', NULL, NULL FROM page WHERE p % 5 = 0
-  UNION ALL SELECT p*4+3, url, p*60-30, false, tag, NULL, NULL FROM page WHERE p % 7 = 0
+  SELECT p*4 AS record_id, url, p*60 AS s, true AS is_full, tag AS etag, lm, dig, html FROM page
+  UNION ALL SELECT p*4+1, regexp_replace(url, '#.*$', '') || '#again', p*60+86400, false, CASE WHEN p % 11 <> 0 THEN 'W/' || tag END, CASE WHEN p % 11 <> 0 THEN lm END, CASE WHEN p % 11 <> 0 THEN dig END, NULL FROM page WHERE p % 2 = 0
+  UNION ALL SELECT p*4+2, url, p*60+172800, false, CASE WHEN tag IS NOT NULL THEN '"other"' END, CASE WHEN lm IS NOT NULL THEN 'modified never' END, CASE WHEN dig IS NOT NULL THEN 'sha1:other' END, NULL FROM page WHERE p % 5 = 0
+  UNION ALL SELECT p*4+3, url, p*60-30, false, tag, lm, dig, NULL FROM page WHERE p % 7 = 0
 ), bare AS (
   SELECT *, regexp_replace(trim(url), '#.*$', '') AS b FROM records
 ), parts AS (
@@ -143,9 +177,11 @@ WITH page AS (
 ), seen AS (
   SELECT *, last_value(CASE WHEN is_full THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical_url ORDER BY s, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM keyed
 ), judged AS (
-  SELECT r.record_id, r.canonical_url, f.record_id AS base_id0, f.html, r.etag AS re,
+  SELECT r.record_id, r.canonical_url, f.record_id AS base_id0, f.html,
     CASE WHEN r.canonical_url IS NULL THEN 'no_key' WHEN f.record_id IS NULL THEN 'no_response'
-         WHEN replace(r.etag, 'W/', '') = f.etag THEN 'resolved' ELSE 'changed' END AS status
+         WHEN r.etag IS NOT NULL AND f.etag IS NOT NULL THEN CASE WHEN replace(r.etag, 'W/', '') = f.etag THEN 'resolved' ELSE 'changed' END
+         WHEN r.lm IS NOT NULL AND f.lm IS NOT NULL THEN CASE WHEN r.lm = f.lm THEN 'resolved' ELSE 'changed' END
+         WHEN r.dig IS NOT NULL AND f.dig IS NOT NULL THEN CASE WHEN r.dig = f.dig THEN 'resolved' ELSE 'changed' END ELSE 'no_validator' END AS status
   FROM seen r LEFT JOIN keyed f ON f.record_id = r.found AND f.is_full WHERE NOT r.is_full
 )
 SELECT record_id, canonical_url, CASE WHEN status = 'resolved' THEN base_id0 END AS base_id, status,
