@@ -5,13 +5,15 @@ shared folder, so every later pass sees the same chunks. A pass gives, for each
 chunk, its distinct hashed items with a few bytes of statistics; they are dealt
 by hash into buckets as packed arrays (one row for a chunk and bucket, not for
 an item), met in the buckets, and the verdict on each item is sent back to the
-chunks that asked: a bit for each entry, in the order in which it was asked. An item that stands in a third of all documents costs each
-chunk one entry, and each bucket one entry a chunk.
+chunks that asked: a bit for each entry, in the order in which it was asked. An
+item that stands in a third of all documents costs each chunk one entry, and its
+bucket one entry a chunk. Chunks and buckets grow with the text (see
+:func:`extents`), so that rows keep many entries and a hot item's entries stay
+within what a bucket holds: at 100 TB there are six million chunks.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,11 +24,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK_BYTES = 1 << 20
-#: Entries that one bucket should hold.
-BUCKET_ENTRIES = 1_000_000
-#: An item is its bucket and 30 bits of its hash. With BUCKET_ENTRIES in a bucket one item in a thousand meets
-#: another one's key, at any size of the input; callers use verdicts only to find candidates.
+#: Bytes of a chunk's texts, least and most.
+CHUNK_BYTES, MOST_CHUNK_BYTES = 1 << 20, 16 << 20
+#: Entries that one bucket should hold, least and most, and entries that a row (chunk and bucket) should have.
+BUCKET_ENTRIES, MOST_BUCKET_ENTRIES, ROW_ENTRIES = 1_000_000, 4_000_000, 256
+ENTRY_BYTES = 6.5
+#: An item is its bucket and 30 bits of its hash. With a million entries in a bucket one item in a thousand meets
+#: another one's key, with four million four; callers use verdicts only to find candidates.
 KEY_BITS = np.uint64(30)
 KEY_MASK = np.uint64((1 << 30) - 1)
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, nulls binary, offsets binary, data binary"
@@ -45,8 +49,17 @@ class Chunk:
         self.data = np.frombuffer(pa.decompress(row["data"], size, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Table of packed documents; a text longer than ``most_bytes`` has a chunk of its own."""
+def extents(n_bytes: int) -> tuple[int, int]:
+    """(bytes of a chunk, number of buckets) for texts of ``n_bytes``: chunks grow first, then buckets."""
+    chunk = min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, int(n_bytes * ROW_ENTRIES / BUCKET_ENTRIES)))
+    held = min(MOST_BUCKET_ENTRIES, max(BUCKET_ENTRIES, int(n_bytes * ROW_ENTRIES / chunk)))
+    return chunk, max(1, round(n_bytes / ENTRY_BYTES / held))
+
+
+def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(table of packed documents, number of buckets); a text longer than a chunk has one of its own."""
+    rows = common.id_and_text(docs, id_col, text_col)
+    most_bytes, buckets = extents(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, count = TaskContext.get().partitionId() << 32, 0
@@ -72,13 +85,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield flush()
 
-    return common.materialize(common.id_and_text(docs, id_col, text_col).mapInArrow(pack, CHUNK_SCHEMA), "chunks")
-
-
-def buckets_for(chunks: DataFrame, bytes_an_entry: float = 6.5) -> int:
-    """Number of buckets, in proportion to the text."""
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(1, round(total / bytes_an_entry / BUCKET_ENTRIES))
+    return common.materialize(rows.mapInArrow(pack, CHUNK_SCHEMA), "chunks"), buckets
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -195,9 +202,3 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sizes(firsts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(firsts, n))
-
-
-def release(df: DataFrame) -> None:
-    """Let Spark drop shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()

@@ -106,8 +106,8 @@ def signatures(value: np.ndarray, df: np.ndarray, n_alone: int, threshold: int)
 
 def shingle_sets(docs: DataFrame, k: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """SETS of every document, stored; ``common`` and ``signatures`` are null where no link is possible."""
-    chunks = census.chunk_table(docs, id_col, text_col)
-    buckets = census.buckets_for(chunks)
+    chunks, buckets = census.chunk_table(docs, id_col, text_col)
+
     def count(row: dict) -> Iterator[pa.RecordBatch]:
         chunk = census.Chunk(row)
         doc, value = shingles(chunk, k)
@@ -128,7 +128,6 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, id_col: str, text_col:
         return which, np.minimum(n[which], 65_535).astype("<u2").view(np.uint8).reshape(-1, 2)
 
     counted = common.materialize(census.meet(census.ask(chunks, count), 4, frequencies), "frequencies")
-    census.release(chunks)
 
     def index(chunk: census.Chunk, said: dict[int, bytes]) -> pa.Table:
         doc, value = shingles(chunk, k)
@@ -165,7 +164,6 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, id_col: str, text_col:
     out = common.materialize(census.answer(chunks, [counted], index, SETS), "sets")
     common.drop_table(docs.sparkSession, chunks)
     common.drop_table(docs.sparkSession, counted)
-    census.release(out)
     return out
 
 

@@ -64,8 +64,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
     ``repeats`` lists first word and word after the last of each maximal repeat.
     """
     block = (window + 1) // 2
-    chunks = census.chunk_table(docs, id_col, text_col)
-    buckets = census.buckets_for(chunks)
+    chunks, buckets = census.chunk_table(docs, id_col, text_col)
 
     def probe(row: dict) -> Iterator[pa.RecordBatch]:
         chunk = census.Chunk(row)
@@ -86,7 +85,6 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
         return np.sort(order[np.repeat((seen & 1 > 0) & ((n > 1) | (seen & 2 > 0)), n)]), None
 
     anchored = common.materialize(census.meet(census.ask(chunks, probe), 4, hits), "anchors")
-    census.release(chunks)
 
     def candidates(chunk: census.Chunk, words: Words, anchors: dict[int, bytes]) -> tuple[np.ndarray, ...]:
         """(hash, check, start, bucket, order, first of each run) of the windows around anchors, runs in the order of buckets."""
@@ -117,7 +115,6 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_
         return np.sort(order[doc[order] > np.repeat(np.minimum.reduceat(doc[order], firsts), census.sizes(firsts, len(rows)))]), None
 
     repeated = common.materialize(census.meet(census.answer(chunks, [anchored], extend, "bucket long, chunk long, data binary"), 20, later), "repeats")
-    census.release(chunks)
 
     def cut(chunk: census.Chunk, anchors: dict[int, bytes], repeats: dict[int, bytes]) -> pa.Table:
         words = Words(chunk.offsets, chunk.data)
