@@ -74,13 +74,41 @@ def precision_recall(points: DataFrame, embedding: DataFrame, k: int, evaluated:
 
 
 def covariance(points: DataFrame, weight: str | None = None) -> DataFrame:
-    """a, b, c: population covariance of dimensions, from sums of products that each task adds up first."""
-    keep = [weight] if weight else []
-    w = F.col(weight) if weight else F.lit(1.0)
-    x = F.transform("features", lambda v, i: F.struct(i.alias("a"), v.alias("xa")))
-    rows = points.select("features", *keep, F.explode(x).alias("l")).select(*keep, "l.a", "l.xa", F.posexplode("features").alias("b", "xb"))
-    sums = rows.groupBy("a", "b").agg(F.sum(w).alias("n"), F.sum(w * F.col("xa")).alias("sa"), F.sum(w * F.col("xb")).alias("sb"), F.sum(w * F.col("xa") * F.col("xb")).alias("sab"))
-    return sums.select("a", "b", (F.col("sab") / F.col("n") - F.col("sa") / F.col("n") * (F.col("sb") / F.col("n"))).alias("c"))
+    """a, b, c: population covariance of dimensions, weighted by the column ``weight``; none without points or weight.
+
+    Two passes, which also far from zero lose no digits: means, then products of
+    what is left around them. Each task adds up its points first, so dimensions
+    squared numbers a task are moved, whatever the number of points.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = points.filter("features IS NOT NULL").select("features", w.alias("w")).filter("w IS NOT NULL")
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, mass = 0.0, 0.0
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("w").to_numpy()
+                sums, mass = sums + own @ nn._matrix(batch), mass + own.sum()
+        sums = np.atleast_1d(sums) if mass else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums), pa.array(np.full(len(sums), mass))], names=["dim", "x", "w"])
+
+    found = rows.mapInArrow(total, "dim long, x double, w double").groupBy("dim").agg(F.sum("x").alias("x"), F.sum("w").alias("w")).orderBy("dim").collect()  # a row a dimension
+    if not found or not found[0].w:
+        return points.sparkSession.createDataFrame([], "a int, b int, c double")
+    mean, mass = np.array([r.x / r.w for r in found]), found[0].w
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, rest = np.zeros((len(mean), len(mean))), np.zeros(len(mean))
+        for batch in batches:
+            if batch.num_rows:
+                gap, own = nn._matrix(batch) - mean, batch.column("w").to_numpy()
+                both += (gap * own[:, None]).T @ gap
+                rest += own @ gap
+        a, b = np.indices(both.shape, np.int32).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(both.reshape(-1)), pa.array(rest[a]), pa.array(rest[b])], names=["a", "b", "ab", "ra", "rb"])
+
+    sums = rows.mapInArrow(products, "a int, b int, ab double, ra double, rb double").groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("ab", "ra", "rb")))
+    return sums.select("a", "b", (F.col("ab") / mass - F.col("ra") / mass * (F.col("rb") / mass)).alias("c"))
 
 
 def _neighbourhoods(points: DataFrame, edges: DataFrame) -> DataFrame:

@@ -62,8 +62,11 @@ def from_points(points: DataFrame, parameters: Parameters = Parameters()) -> Hie
 
 def order_statistic(counts: DataFrame, share: float) -> DataFrame:
     """cut: the value at place floor((n - 1)(1 - share)) of the sorted counts."""
-    numbered = counts.select("n", (F.row_number().over(Window.orderBy("n")) - 1).alias("place"), F.count(F.lit(1)).over(Window.partitionBy()).alias("all"))
-    return numbered.filter(F.col("place") == F.floor((F.col("all") - 1) * (1 - share))).select(F.col("n").alias("cut"))
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))  # counts of visits: few different ones
+    upto = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sizes.select("n", F.sum("rows").over(upto).alias("upto"), F.sum("rows").over(Window.partitionBy()).alias("all"))
+    place = F.floor((F.col("all") - 1) * (1 - share))
+    return placed.filter(F.col("upto") > place).agg(F.min("n").alias("cut"))
 
 
 def percentile_cut(counts: DataFrame, share: float) -> DataFrame:

@@ -86,6 +86,14 @@ def size_of(points: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+def fetched(points: DataFrame) -> pa.Table | None:
+    """id and features of all points, if they have at most MOST_CELLS cells; the driver never holds more than that and one row."""
+    first = points.limit(1).select(F.size("features")).first()
+    most = MOST_CELLS // max(1, first[0] if first else 1)
+    table = points.limit(most + 1).toArrow()
+    return table if table.num_rows <= most else None
+
+
 def knn(points: DataFrame, k: int, metric: str = "l2sq", method: str = "auto") -> DataFrame:
     """SCHEMA: the ``k`` nearest of every point (id, features); ``d2`` is the distance of the metric.
 
@@ -99,12 +107,10 @@ def knn(points: DataFrame, k: int, metric: str = "l2sq", method: str = "auto") -
         a, b = points.select(F.col("id").alias("i"), F.col("features").alias("fa")), points.select(F.col("id").alias("j"), F.col("features").alias("fb"))
         pairs = a.join(b, F.col("i") != F.col("j")).select("i", "j", METRICS[metric](F.col("fa"), F.col("fb")).alias("d2"))
         return ranked(pairs, k)
-    n, width = size_of(points)
-    if method == "auto":
-        method = "broadcast" if n * width <= MOST_CELLS else "blocks"
-    if method == "blocks":
+    table = points.toArrow() if method == "broadcast" else fetched(points) if method == "auto" else None
+    if table is None:
+        n, width = size_of(points)
         return _by_blocks(points, k, metric, max(1, -(-n * width // BLOCK_CELLS)))
-    table = points.toArrow()
     matrix = points.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), _matrix(table)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,23 +36,19 @@ def covariance(spark, d):
     return rounded(A.covariance(low(spark, d)), "c", digits=5)
 
 
+@query("covariance_all", f"WITH {CELLS} SELECT p.dim AS a, q.dim AS b, {r('covar_pop(p.x, q.x)', 'c')} FROM cells p JOIN cells q ON p.id = q.id GROUP BY 1, 2")
+def covariance_all(spark, d):
+    """Of all dimensions of the embeddings."""
+    return rounded(A.covariance(panel(spark, d)), "c")
+
+
 @query("weighted_covariance", f"WITH {_LOW} {_cov('w')}")
 def weighted_covariance(spark, d):
     return rounded(A.covariance(low(spark, d), "weight"), "c", digits=5)
 
 
-def _narrow(spark, d):
-    return panel(spark, d).withColumn("features", F.slice("features", 1, 3))
-
-
-@query("local_covariance", f"WITH {edges_sql()}, n AS (SELECT i, w, f FROM edges JOIN pts ON pts.id = edges.j), ab AS (SELECT CAST(unnest([0,0,0,1,1,1,2,2,2]) AS INT) AS a, CAST(unnest([0,1,2,0,1,2,0,1,2]) AS INT) AS b) SELECT i, a, b, {r('sum(w * f[a + 1] * f[b + 1]) / sum(w) - sum(w * f[a + 1]) * sum(w * f[b + 1]) / (sum(w) * sum(w))', 'c')} FROM n, ab GROUP BY i, a, b")
+@query("local_covariance", f"WITH {edges_sql()}, n AS (SELECT i, w, f FROM edges JOIN pts ON pts.id = edges.j), a AS (SELECT unnest(range(64)) AS a), b AS (SELECT unnest(range(64)) AS b) SELECT i, CAST(a AS INT) AS a, CAST(b AS INT) AS b, {r('sum(w * f[a + 1] * f[b + 1]) / sum(w) - sum(w * f[a + 1]) * sum(w * f[b + 1]) / (sum(w) * sum(w))', 'c')} FROM n, a, b GROUP BY i, a, b")
 def local_covariance(spark, d):
-    return rounded(A.local_covariance(_narrow(spark, d), edges(spark, d)), "c")
-
-
-@query("local_covariance_all")
-def local_covariance_all(spark, d):
-    """``local_covariance`` over all dimensions."""
     return rounded(A.local_covariance(panel(spark, d), edges(spark, d)), "c")
 
 
@@ -463,18 +459,11 @@ def control_points(spark, d):
     return rounded(S.control_points(_segments(spark, d), 6), "x", "y")
 
 
-@query("bundle_step", f"""WITH {_SEG}, cp AS (SELECT a, b, CAST(k AS INT) AS k, x0 + (x1 - x0) * k / 5 AS x, y0 + (y1 - y0) * k / 5 AS y FROM seg, (SELECT unnest(range(6)) AS k) WHERE a < 60), n AS (SELECT count(DISTINCT (a, b)) AS n FROM cp),
+@query("bundle_step", f"""WITH {_SEG}, cp AS (SELECT a, b, CAST(k AS INT) AS k, x0 + (x1 - x0) * k / 5 AS x, y0 + (y1 - y0) * k / 5 AS y FROM seg, (SELECT unnest(range(6)) AS k)), n AS (SELECT count(DISTINCT (a, b)) AS n FROM cp),
  pull AS (SELECT p.a, p.b, p.k, sum(CASE WHEN abs(q.x - p.x) < 0.1 THEN q.x - p.x ELSE 0 END) * 0.1 / max(n) AS px, sum(CASE WHEN abs(q.y - p.y) < 0.1 THEN q.y - p.y ELSE 0 END) * 0.1 / max(n) AS py FROM cp p JOIN cp q ON p.k = q.k AND NOT (p.a = q.a AND p.b = q.b), n GROUP BY 1, 2, 3),
  f AS (SELECT a, b, k, x, y, lag(x) OVER o + lead(x) OVER o - 2 * x + px AS fx, lag(y) OVER o + lead(y) OVER o - 2 * y + py AS fy FROM cp JOIN pull USING (a, b, k) WINDOW o AS (PARTITION BY a, b ORDER BY k))
  SELECT a, b, k, {r('x + CASE WHEN k BETWEEN 1 AND 4 THEN fx * 0.15 * 0.98 ELSE 0 END * 0.15', 'x')}, {r('y + CASE WHEN k BETWEEN 1 AND 4 THEN fy * 0.15 * 0.98 ELSE 0 END * 0.15', 'y')} FROM f""")
 def bundle_step(spark, d):
-    points = S.control_points(_segments(spark, d).filter("a < 60"), 6).withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
-    return rounded(S.bundle_step(points, 6).select("a", "b", "k", "x", "y"), "x", "y")
-
-
-@query("bundle_step_all")
-def bundle_step_all(spark, d):
-    """``bundle_step`` of all segments."""
     points = S.control_points(_segments(spark, d), 6).withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
     return rounded(S.bundle_step(points, 6).select("a", "b", "k", "x", "y"), "x", "y")
 

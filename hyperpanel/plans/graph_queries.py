@@ -37,27 +37,24 @@ def knn_l1(spark, d):
     return rounded(N.knn(panel(spark, d), 10, "l1"), "d2")
 
 
-@query("radius_join", f"WITH {PTS} SELECT a.id AS i, b.id AS j, {r('pow(list_distance(a.f, b.f), 2)', 'd2')} FROM pts a JOIN pts b ON a.id <> b.id WHERE a.id < 100 AND pow(list_distance(a.f, b.f), 2) <= 0.8")
-def radius_join(spark, d):
-    points = panel(spark, d)
-    return rounded(N.radius(points, points.filter("id < 100"), 0.8), "d2")
+_D2 = r("pow(list_distance(a.f, b.f), 2)", "d2")
 
 
-@query("radius_join_all")
-def radius_join_all(spark, d):
-    """``radius_join`` asked by all points."""
+@query("radius_join", f"WITH {PTS} SELECT a.id AS i, b.id AS j, {_D2} FROM pts a JOIN pts b ON a.id <> b.id WHERE pow(list_distance(a.f, b.f), 2) <= 0.8")
+def radius_join(spark, d):
     points = panel(spark, d)
     return rounded(N.radius(points, points, 0.8), "d2")
 
 
-@query("all_distances", f"WITH {PTS} SELECT a.id AS i, b.id AS j, {r('pow(list_distance(a.f, b.f), 2)', 'd2')} FROM pts a JOIN pts b ON a.id <> b.id WHERE a.label = 3 AND b.label = 3")
-def all_distances(spark, d):
-    return rounded(N.all_distances(panel(spark, d).filter("label = 3")), "d2")
+@query("radius_join_wide", f"WITH {PTS} SELECT a.id AS i, b.id AS j, {_D2} FROM pts a JOIN pts b ON a.id <> b.id WHERE pow(list_distance(a.f, b.f), 2) <= 1.6")
+def radius_join_wide(spark, d):
+    """At a radius at which the smaller tables have neighbours too."""
+    points = panel(spark, d)
+    return rounded(N.radius(points, points, 1.6), "d2")
 
 
-@query("all_distances_all")
-def all_distances_all(spark, d):
-    """``all_distances`` between all labels."""
+@query("all_distances", f"WITH {PTS} SELECT a.id AS i, b.id AS j, {_D2} FROM pts a JOIN pts b ON a.id <> b.id")
+def all_distances(spark, d):
     return rounded(N.all_distances(panel(spark, d)), "d2")
 
 
@@ -95,15 +92,8 @@ def conditional_p(spark, d):
     return rounded(M.conditional(panel(spark, d), _TEN), "w", digits=4)
 
 
-@query("conditional_p_column", f"{_P10} SELECT i, j, {r('w', 'w', 4)} FROM p WHERE i < 100")
+@query("conditional_p_column", f"{_P10} SELECT i, j, {r('w', 'w', 4)} FROM p")
 def conditional_p_column(spark, d):
-    graph = N.knn(panel(spark, d), 30).filter("i < 100")
-    return rounded(M.calibrated(graph, 10, method="column").select("i", "j", "w"), "w", digits=4)
-
-
-@query("conditional_p_column_all")
-def conditional_p_column_all(spark, d):
-    """``conditional_p_column`` of all points."""
     return rounded(M.calibrated(N.knn(panel(spark, d), 30), 10, method="column").select("i", "j", "w"), "w", digits=4)
 
 
@@ -120,19 +110,9 @@ def fixed_weight_p(spark, d):
     return rounded(M.calibrated(N.knn(panel(spark, d), 30), 8, by_weight=True).select("i", "j", "w"), "w", digits=4)
 
 
-_SMALL = f"{PTS}, small AS (SELECT * FROM pts WHERE label = 3), d AS (SELECT a.id AS i, b.id AS j, pow(list_distance(a.f, b.f), 2) AS d2 FROM small a, small b)"
-
-
-@query("p_from_distance_matrix", f"WITH RECURSIVE {_SMALL}, rows AS (SELECT i, list(d2 ORDER BY d2, j) AS ds, list(j ORDER BY d2, j) AS js FROM d WHERE i <> j GROUP BY i), {bisection_sql('rows', 5)} SELECT i, j, {r('w', 'w', 4)} FROM p UNION ALL SELECT id, id, 0.0 FROM small")
+@query("p_from_distance_matrix")
 def p_from_distance_matrix(spark, d):
-    points = panel(spark, d).filter("label = 3")
-    own = points.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d2"))
-    return rounded(M.from_distance_matrix(N.all_distances(points).unionByName(own), 5), "w", digits=4)
-
-
-@query("p_from_distance_matrix_all")
-def p_from_distance_matrix_all(spark, d):
-    """``p_from_distance_matrix`` of all points."""
+    """Of all points; SQL takes minutes, so a test holds it against numpy."""
     points = panel(spark, d)
     own = points.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d2"))
     return rounded(M.from_distance_matrix(N.all_distances(points).unionByName(own), 5), "w", digits=4)
@@ -190,10 +170,10 @@ def edge_threshold(spark, d):
     return rounded(G.threshold(edges(spark, d), 0.55), "w")
 
 
-@query("sparse_lookup", f"WITH {edges_sql()}, k AS (SELECT a.id AS i, b.id AS j FROM pts a, pts b WHERE a.id < 20 AND b.id < 20) SELECT i, j, {r('coalesce(w, 0.0)', 'w')} FROM k LEFT JOIN edges USING (i, j)")
+@query("sparse_lookup", f"WITH {edges_sql()}, k AS (SELECT a.id AS i, b.id AS j FROM pts a, pts b WHERE a.label = b.label) SELECT i, j, {r('coalesce(w, 0.0)', 'w')} FROM k LEFT JOIN edges USING (i, j)")
 def sparse_lookup(spark, d):
-    ids = panel(spark, d).filter("id < 20").select("id")
-    keys = ids.select(F.col("id").alias("i")).crossJoin(ids.select(F.col("id").alias("j")))
+    ids = panel(spark, d).select("id", "label")
+    keys = ids.select(F.col("id").alias("i"), "label").join(ids.select(F.col("id").alias("j"), "label"), "label")
     return rounded(G.lookup(edges(spark, d), keys), "w")
 
 
@@ -379,11 +359,21 @@ def set_overlaps(spark, d):
     return J.overlaps(J.to_sets(membership(spark, d)))
 
 
-@query("jaccard_knn", f"WITH {_JAC} SELECT * FROM (SELECT i, j, CAST(row_number() OVER (PARTITION BY i ORDER BY d2, j) AS INT) AS rk, {r('d2', 'd2')} FROM jac) WHERE rk <= 10")
+@query("jaccard_knn", f"WITH {_JAC}, every AS (SELECT p.a AS i, q.a AS j, coalesce(d2, 1.0) AS d2 FROM n p JOIN n q ON p.a <> q.a LEFT JOIN jac ON jac.i = p.a AND jac.j = q.a) SELECT * FROM (SELECT i, j, CAST(row_number() OVER (PARTITION BY i ORDER BY d2, j) AS INT) AS rk, {r('d2', 'd2')} FROM every) WHERE rk <= 10")
 def jaccard_knn(spark, d):
     return rounded(J.jaccard_knn(J.to_sets(membership(spark, d)), 10), "d2")
 
 
+@query("jaccard_knn_sparse", """WITH s AS (SELECT DISTINCT c_custkey AS a, c_nationkey * 40 + c_custkey % 7 AS b FROM customer UNION SELECT c_custkey, 2000 + c_custkey % 900 FROM customer), n AS (SELECT a, count(*) AS n FROM s GROUP BY a),
+ x AS (SELECT p.a AS i, q.a AS j, count(*) AS c FROM s p JOIN s q ON p.b = q.b AND p.a <> q.a GROUP BY 1, 2), every AS (SELECT u.a AS i, v.a AS j, 1 - coalesce(c, 0) / (u.n + v.n - coalesce(c, 0)) AS d2 FROM n u JOIN n v ON u.a <> v.a LEFT JOIN x ON x.i = u.a AND x.j = v.a)
+ SELECT * FROM (SELECT i, j, CAST(row_number() OVER (PARTITION BY i ORDER BY d2, j) AS INT) AS rk, round(d2, 6) + 0.0 AS d2 FROM every) WHERE rk <= 8""")
+def jaccard_knn_sparse(spark, d):
+    """Small sets, most of which have fewer than 8 others with a common member."""
+    c = read(spark, d, "customer")
+    sets = c.select(F.col("c_custkey").alias("id"), F.array(F.col("c_nationkey") * 40 + F.col("c_custkey") % 7, 2000 + F.col("c_custkey") % 900).alias("members"))
+    return rounded(J.jaccard_knn(sets, 8), "d2")
+
+
 @query("jaccard_all_pairs", f"WITH {_JAC}, e AS (SELECT i, j, 1 - d2 AS w FROM jac UNION ALL SELECT a, a, 1.0 FROM n) SELECT i, j, {r('w / sum(w) OVER (PARTITION BY j)', 'w')} FROM e")
 def jaccard_all_pairs(spark, d):
     return rounded(J.all_pairs_jaccard(J.to_sets(membership(spark, d))), "w")

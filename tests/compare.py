@@ -34,11 +34,9 @@ def assert_same(spark, query, sql, folder=DATA):
         con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     other = con.sql(sql)
     assert sorted(df.columns) == sorted(other.columns)
-    mine, theirs = rows(df.columns, df.collect()), rows(other.columns, other.fetchall())
-    kind = {k: i for k, i in zip(df.columns, [f.dataType.typeName() for f in df.schema], strict=True)}
-    floats = [c for c, k in kind.items() if k in ("double", "float")]
-    if floats:  # whole numbers on one side may be doubles on the other
-        mine = rows(df.columns, [[float(v) if isinstance(v, int) and not isinstance(v, bool) else v for v in r] for r in df.collect()])
-        theirs = rows(other.columns, [[float(v) if isinstance(v, int) and not isinstance(v, bool) else v for v in r] for r in other.fetchall() or con.sql(sql).fetchall()])
+    mine, theirs = df.collect(), other.fetchall()
     assert len(mine) == len(theirs)
-    assert mine == theirs
+    kind = {k: i for k, i in zip(df.columns, [f.dataType.typeName() for f in df.schema], strict=True)}
+    if any(k in ("double", "float") for k in kind.values()):  # whole numbers on one side may be doubles on the other
+        mine, theirs = ([[float(v) if isinstance(v, int) and not isinstance(v, bool) else v for v in r] for r in x] for x in (mine, theirs))
+    assert rows(df.columns, mine) == rows(other.columns, theirs)

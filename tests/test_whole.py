@@ -6,7 +6,9 @@ import pytest
 from compare import DATA
 
 from hyperpanel.functions import calibrate
+from hyperpanel.operators import analysis as A
 from hyperpanel.operators import embedding, knn
+from hyperpanel.operators import sets as J
 from hyperpanel.operators.similarity import walk_weights
 from hyperpanel.plans import QUERIES
 from hyperpanel.plans.registry import panel
@@ -40,7 +42,7 @@ def test_radius_join_asks_all_points(spark):
     folder = "/root/testdata/sf0.1"  # no two points of the smaller ones are so near
     ids, _, d2 = vectors(folder)
     want = {(int(ids[a]), int(ids[b])): d2[a, b] for a, b in zip(*np.nonzero((d2 <= 0.8) & ~np.eye(len(ids), dtype=bool)), strict=True)}
-    got = {(r.i, r.j): r.d2 for r in QUERIES["radius_join_all"](spark, folder).collect()}
+    got = {(r.i, r.j): r.d2 for r in QUERIES["radius_join"](spark, folder).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     assert max(i for i, _ in got) >= 100
 
@@ -55,7 +57,7 @@ def test_radius_methods_agree(spark, metric):
 
 
 def test_conditional_p_column_of_all_points(spark):
-    kernel, column = ({(r.i, r.j): r.w for r in QUERIES[n](spark, DATA).collect()} for n in ("conditional_p", "conditional_p_column_all"))
+    kernel, column = ({(r.i, r.j): r.w for r in QUERIES[n](spark, DATA).collect()} for n in ("conditional_p", "conditional_p_column"))
     assert kernel.keys() == column.keys() and all(abs(kernel[k] - column[k]) < 2e-4 for k in kernel)
 
 
@@ -68,7 +70,7 @@ def test_bundle_step_of_all_segments(spark):
     pull = np.where(np.abs(gap) < 0.1, gap, 0).sum(1) * 0.1 / len(pairs_)
     want = xy.copy()
     want[:, 1:5] += (xy[:, :4] + xy[:, 2:] - 2 * xy[:, 1:5] + pull[:, 1:5]) * 0.15 * 0.98 * 0.15
-    got = {(r.a, r.b, r.k): (r.x, r.y) for r in QUERIES["bundle_step_all"](spark, DATA).collect()}
+    got = {(r.a, r.b, r.k): (r.x, r.y) for r in QUERIES["bundle_step"](spark, DATA).collect()}
     assert len(got) == 6 * len(pairs_)
     for n, (i, j) in enumerate(pairs_):
         for k in range(6):
@@ -83,7 +85,7 @@ def test_exact_tsne_embeds_all_labels(spark):
 
 def test_all_distances_between_labels(spark):
     ids, _, d2 = vectors()
-    t = QUERIES["all_distances_all"](spark, DATA).toArrow()
+    t = QUERIES["all_distances"](spark, DATA).toArrow()
     place = {v: p for p, v in enumerate(ids.tolist())}
     i, j = ([place[v] for v in t.column(c).to_pylist()] for c in "ij")
     assert len(set(zip(i, j, strict=True))) == len(i) == len(ids) * (len(ids) - 1)
@@ -94,7 +96,7 @@ def test_p_from_distance_matrix_of_all_points(spark):
     ids, _, d2 = vectors()
     got = np.zeros_like(d2)
     place = {v: p for p, v in enumerate(ids.tolist())}
-    rows = QUERIES["p_from_distance_matrix_all"](spark, DATA).collect()
+    rows = QUERIES["p_from_distance_matrix"](spark, DATA).collect()
     for r in rows:
         got[place[r.i], place[r.j]] = r.w
     p, _ = calibrate.kernel(np.stack([np.delete(v, k) for k, v in enumerate(d2)]), 5.0)
@@ -145,7 +147,34 @@ def test_intrinsic_dim_of_all_dimensions(spark):
 
 
 def test_local_covariance_of_all_dimensions(spark):
-    t = QUERIES["local_covariance_all"](spark, DATA).filter("i < 40").toArrow()
+    t = QUERIES["local_covariance"](spark, DATA).filter("i < 40").toArrow()
     want = dict(neighbourhoods(5))
     i, a, b, c = (t.column(n).to_numpy() for n in ("i", "a", "b", "c"))
     assert len(c) == 40 * 64 * 64 and max(abs(want[u][v, w] - y) for u, v, w, y in zip(i, a, b, c, strict=True)) < 1e-6
+
+
+def test_covariance_far_from_zero(spark):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(400, 5)) @ g.normal(size=(5, 5)) + 1e8
+    w = g.integers(1, 5, 400).astype(float)
+    points = spark.createDataFrame([(k, [float(v) for v in row], float(m)) for k, (row, m) in enumerate(zip(x, w, strict=True))], "id long, features array<double>, weight double").repartition(3)
+    for weight, aw in ((None, np.ones(400)), ("weight", w)):
+        got = np.zeros((5, 5))
+        for r in A.covariance(points, weight).collect():
+            got[r.a, r.b] = r.c
+        assert np.abs(got - np.cov(x.T, aweights=aw, ddof=0)).max() < 1e-6
+    assert A.covariance(points.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_jaccard_neighbours_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(J, "ASK_MEMBERS", block)
+    g = np.random.default_rng(1)
+    sets = [sorted({int(v) for v in g.integers(0, 30, g.integers(0, 6))}) for _ in range(40)] + [[], [1, 1, 2]]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(sets)], "id long, members array<long>").repartition(3)
+    got = {(r.i, r.rk): (r.j, round(r.d2, 9)) for r in J.jaccard_knn(df, 6).collect()}
+    for i, a in enumerate(sets):
+        d = sorted((round(1 - len({*a} & {*b}) / max(1, len({*a} | {*b})), 9), j) for j, b in enumerate(sets) if j != i)
+        assert [got[i, k + 1] for k in range(6)] == [(j, v) for v, j in d[:6]]
+    assert J.jaccard_knn(df.limit(0), 3).count() == 0
