@@ -60,6 +60,27 @@ def from_points(points: DataFrame, parameters: Parameters = Parameters()) -> Hie
     return Hierarchy([first_scale(hsne_graph(points, parameters.neighbours))], parameters)
 
 
+def from_similarities(transition: DataFrame, parameters: Parameters = Parameters()) -> Hierarchy:
+    """A hierarchy over given similarities (i, j, w; negative ones are an error), rows normalised; vertices that are only targets are points too."""
+    if transition.filter("w < 0").limit(1).count():
+        raise ValueError("similarities are not negative")
+    ids = transition.select("i").unionByName(transition.select(F.col("j").alias("i"))).distinct().select(F.col("i").alias("lm"))
+    points = ids.select("lm", F.col("lm").alias("orig_id"), F.col("lm").alias("prev_id"), F.lit(1.0).alias("weight"))
+    return Hierarchy([Scale(points, row_normalised(transition.select("i", "j", "w")))], parameters)
+
+
+def statistics(h: Hierarchy) -> DataFrame:
+    """scale, landmarks, transitions, influences, weight: sizes of all scales and their landmarks' total weight."""
+    out = None
+    for s, scale in enumerate(h.scales):
+        own = scale.landmarks.agg(F.count(F.lit(1)).alias("landmarks"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"))
+        moves = scale.transition.agg(F.count(F.lit(1)).alias("transitions"))
+        areas_ = (scale.aoi if scale.aoi is not None else scale.landmarks.limit(0)).agg(F.count(F.lit(1)).alias("influences"))
+        row = own.crossJoin(moves).crossJoin(areas_).select(F.lit(s).alias("scale"), "landmarks", "transitions", "influences", "weight")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def order_statistic(counts: DataFrame, share: float) -> DataFrame:
     """cut: the value at place floor((n - 1)(1 - share)) of the sorted counts."""
     sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows"))  # counts of visits: few different ones
@@ -248,6 +269,29 @@ def checked_cluster(clusters: DataFrame, scale: int, cluster_id: int, parent: in
         raise ValueError("cluster id in use")
 
 
+def add_cluster(clusters: DataFrame, scale: int, cluster_id: int, parent: int | None, top: int) -> DataFrame:
+    """clusters (scale, cluster_id, parent_id) with one more; see :func:`checked_cluster`."""
+    checked_cluster(clusters, scale, cluster_id, parent, top)
+    return clusters.unionByName(clusters.sparkSession.createDataFrame([(scale, cluster_id, parent)], "scale int, cluster_id int, parent_id int").select(*(F.col(f.name).cast(f.dataType) for f in clusters.schema)))
+
+
+def has_cluster(clusters: DataFrame, scale: int, cluster_id: int) -> bool:
+    return bool(clusters.filter((F.col("scale") == scale) & (F.col("cluster_id") == cluster_id)).limit(1).count())
+
+
+def get_cluster(clusters: DataFrame, scale: int, cluster_id: int) -> DataFrame:
+    """The row of a cluster; without it, an error."""
+    if not has_cluster(clusters, scale, cluster_id):
+        raise KeyError(f"no cluster {cluster_id} at scale {scale}")
+    return clusters.filter((F.col("scale") == scale) & (F.col("cluster_id") == cluster_id))
+
+
+def remove_cluster(clusters: DataFrame, scale: int, cluster_id: int) -> DataFrame:
+    """clusters without one that is there; its children keep their parent's id."""
+    get_cluster(clusters, scale, cluster_id)
+    return clusters.filter(~((F.col("scale") == scale) & (F.col("cluster_id") == cluster_id)))
+
+
 def cluster_parents(aoi: DataFrame, members: DataFrame, upper: DataFrame) -> DataFrame:
     """cluster_id, best (upper cluster of the largest influence, -1: unclustered). members, upper: cluster_id, lm."""
     own = members.select("cluster_id", F.col("lm").alias("prev"))

@@ -252,8 +252,12 @@ def signed_image(edges: DataFrame) -> DataFrame:
 
 def build(points: DataFrame, parameters: hsne.Parameters = hsne.Parameters(), scales: int | None = None, most_top: int | None = None) -> hsne.Hierarchy:
     """A hierarchy of ``scales`` scales, or with scales added until the top has at most ``most_top`` landmarks (or stops shrinking)."""
-    h = hsne.from_points(points, parameters)
-    size = points.count()
+    return add_scales(hsne.from_points(points, parameters), scales, most_top)
+
+
+def add_scales(h: hsne.Hierarchy, scales: int | None = None, most_top: int | None = None) -> hsne.Hierarchy:
+    """The same of a hierarchy that has a first scale."""
+    size = h.scales[-1].landmarks.count()
     while (scales is not None and len(h.scales) < scales) or (scales is None and size > (most_top or 3000)):
         taller = hsne.add_scale(h)
         new = taller.scales[-1].landmarks.count()

@@ -410,15 +410,11 @@ def visible_lines(spark, d):
 
 @query("bipartite_session")
 def bipartite_session(spark, d):
-    """Similarity rows of side a (its 10 nearest by Jaccard) and connection counts between landmarks given by id % 5 and id % 7.
+    """Overview of suppliers and parts as sets of each other: both top scales' similarities, weights and links."""
+    from ..operators import bipartite as B
 
-    The whole session (SURVEY X6) is not built: no side b, deduplication, hierarchies or influence.
-    """
-    from ..operators import sets as J
-
-    m, a, b = _bipartite(spark, d)
-    rows = J.transition(J.to_sets(m), 10, small=0)
-    return rounded(rows.select(F.lit("a").alias("side"), "i", "j", "w").unionByName(S.connections(a, m, b).select(F.lit("links").alias("side"), F.col("a").alias("i"), F.col("b").alias("j"), F.col("n").cast("double").alias("w"))), "w")
+    p = H.Parameters(neighbours=12, walks=6, walk_length=5, walks_per_landmark=20, max_jumps=20)
+    return rounded(B.tables(B.overview(B.session(membership(spark, d), p, most_top=500))), "w")
 
 
 @query("cluster_move", f"WITH {PTS}, c AS (SELECT label AS cluster_id, id FROM pts) SELECT cluster_id, id FROM c WHERE id % 9 <> 0 UNION ALL SELECT 50, id FROM c WHERE id % 9 = 0")

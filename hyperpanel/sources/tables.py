@@ -11,6 +11,8 @@ from ..functions import rng
 from ..operators.hsne import Hierarchy, Scale
 
 PARTS = ("landmarks", "transition", "aoi")
+#: Version of a stored hierarchy's layout; others are refused.
+VERSION = "0.0"
 
 
 def save_hierarchy(h: Hierarchy, path: str) -> None:
@@ -24,12 +26,20 @@ def save_hierarchy(h: Hierarchy, path: str) -> None:
                 rows = df if rows is None else rows.unionByName(df)
         if rows is not None:
             rows.write.mode("overwrite").partitionBy("scale").parquet(f"{path}/{part}")
+    spark = h.scales[0].landmarks.sparkSession
+    spark.createDataFrame([(VERSION,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/version")
 
 
-def load_hierarchy(spark: SparkSession, path: str) -> Hierarchy:
+def load_hierarchy(spark: SparkSession, path: str, weights: bool = False) -> Hierarchy:
+    """What :func:`save_hierarchy` stored; another version is an error, and points weigh 1 again unless ``weights``."""
+    found = spark.read.parquet(f"{path}/version").first()[0]
+    if found != VERSION:
+        raise ValueError(f"a hierarchy of version {found}, not {VERSION}")
     landmarks, transition = (spark.read.parquet(f"{path}/{p}") for p in PARTS[:2])
     top = landmarks.agg(F.max("scale")).first()[0]
     aoi = spark.read.parquet(f"{path}/aoi") if top else None
+    if not weights:
+        landmarks = landmarks.withColumn("weight", F.when(F.col("scale") == 0, 1.0).otherwise(F.col("weight")))
     at = lambda df, k: df.filter(F.col("scale") == k).drop("scale")
     return Hierarchy([Scale(at(landmarks, k), at(transition, k), at(aoi, k) if k else None) for k in range(top + 1)])
 
