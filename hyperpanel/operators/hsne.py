@@ -270,9 +270,11 @@ def checked_cluster(clusters: DataFrame, scale: int, cluster_id: int, parent: in
 
 
 def add_cluster(clusters: DataFrame, scale: int, cluster_id: int, parent: int | None, top: int) -> DataFrame:
-    """clusters (scale, cluster_id, parent_id) with one more; see :func:`checked_cluster`."""
+    """clusters (scale, cluster_id, parent_id, notes or other columns) with one more, others null; see :func:`checked_cluster`."""
     checked_cluster(clusters, scale, cluster_id, parent, top)
-    return clusters.unionByName(clusters.sparkSession.createDataFrame([(scale, cluster_id, parent)], "scale int, cluster_id int, parent_id int").select(*(F.col(f.name).cast(f.dataType) for f in clusters.schema)))
+    new = clusters.sparkSession.createDataFrame([(scale, cluster_id, parent)], "scale int, cluster_id int, parent_id int")
+    kept = new.select(*((F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in clusters.schema))
+    return clusters.unionByName(kept)
 
 
 def has_cluster(clusters: DataFrame, scale: int, cluster_id: int) -> bool:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import numbered
+
 
 def dy_rows(points: DataFrame, label: str) -> DataFrame:
     """id, line of the DY format: P<id>;values;label.0."""
@@ -30,7 +32,7 @@ def ragged(lines: DataFrame, separator: str) -> DataFrame:
 def read_vectors(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """id (by place in the file), features of a file with one vector a line."""
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.split("value", f"\\Q{separator}\\E").cast("array<double>").alias("features"))
-    return rows.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("id"), "features")
+    return numbered(rows).select("id", "features")
 
 
 def read_projection(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +40,7 @@ def read_projection(spark: SparkSession, path: str) -> DataFrame:
     part = F.split(F.trim("value"), " +")
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), part[0].cast("double").alias("x"), part[1].cast("double").alias("y"), part[2].alias("name"), part[3].cast("int").alias("pivot"))
     first = rows.groupBy("name").agg(F.min("at").alias("first")).select("name", (F.row_number().over(Window.orderBy("first")) - 1).alias("label"))
-    return rows.join(first, "name").select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("id"), "x", "y", "label", "pivot")
+    return numbered(rows).join(first, "name").select("id", "x", "y", "label", "pivot")
 
 
 def read_followers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,7 +55,7 @@ def read_followers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
 def read_colours(spark: SparkSession, path: str, n: int) -> DataFrame:
     """id, r, g, b of a CSV of numbers to 255, row-major; at most ``n`` colours."""
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.posexplode(F.split("value", ",")).alias("k", "v"))
-    cells = rows.filter("trim(v) <> ''").select((F.row_number().over(Window.orderBy("at", "k")) - 1).alias("place"), (F.trim("v").cast("double") / 255).alias("v"))
+    cells = numbered(rows.filter("trim(v) <> ''").withColumn("at", F.struct("at", "k")).withColumn("part", F.shiftright("at.at", 33)), part="part").select(F.col("id").alias("place"), (F.trim("v").cast("double") / 255).alias("v"))
     third = F.call_function("div", F.col("place"), F.lit(3))
     return cells.filter(F.col("place") < 3 * n).groupBy(third.cast("long").alias("id")).agg(*(F.max(F.when(F.col("place") % 3 == k, F.col("v"))).alias(c) for k, c in enumerate("rgb")))
 
