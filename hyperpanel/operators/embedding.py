@@ -1,9 +1,11 @@
 """Stochastic neighbour embedding: gradients, the optimiser, and its variants.
 
 One step is a plan over embedding (id, y) and edges (i, j, w): the attractive
-part joins the edges, the repulsive one needs all points, which a task takes
-from a broadcast matrix of bounded size (MOST_CELLS). Whole runs of small data
-stay in one numpy task; larger ones step on the driver with the same update.
+part joins the edges. For the repulsive one a task takes all points from a
+broadcast matrix of bounded size (MOST_CELLS), or piles of near points: their
+number is bounded (MOST_PILES), whatever the data, and a tree over them answers
+for all. Whole runs of small data (ONE_TASK) are one numpy loop on the driver;
+larger ones repeat the step's plan, with the state stored after each.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.vec import squared_distance, student_t
+from ..sources import files
 from . import tree as trees
 from .field import field_repulsion
 from .knn import MOST_CELLS, _matrix
@@ -27,6 +30,8 @@ from .similarity import joint, symmetrised, walk_weights
 
 #: Points up to which a whole run is one task.
 ONE_TASK = 20_000
+#: Piles of near points that are broadcast at most, and the width that a pile has at least (the kernel's own scale is 1).
+MOST_PILES, LEAST_WIDTH = 1 << 20, 1 / 32
 
 
 @dataclass(frozen=True)
@@ -90,7 +95,7 @@ def kernel_sums(embedding: DataFrame, weights: DataFrame | None = None) -> DataF
     """id, z, f: sum of kernels to all other points, and sum of q^2 (y_i - y_j); with weights (id, weight), both times w_i w_j."""
     n, width = embedding.agg(F.count(F.lit(1)), F.max(F.size("y"))).first()
     if n * (width or 0) > MOST_CELLS:
-        raise ValueError("embeddings of this size need the tree or field repulsion")
+        raise ValueError("embeddings of this size need piled_sums")
     rows = embedding.select("id", "y") if weights is None else embedding.join(weights, "id").select("id", "y", "weight")
     table = rows.toArrow()
     own = (table.column("id").to_numpy(), _matrix(table, "y"), np.ones(n) if weights is None else table.column("weight").to_numpy())
@@ -117,6 +122,68 @@ def kernel_sums(embedding: DataFrame, weights: DataFrame | None = None) -> DataF
     return rows.mapInArrow(run, "id long, z double, f array<double>")
 
 
+def piled_sums(embedding: DataFrame, weights: DataFrame | None = None, theta: float = 0.5, most: int = MOST_PILES, least: float = LEAST_WIDTH) -> DataFrame:
+    """id, z, f as :func:`kernel_sums`, with a tree over piles of points in place of all points.
+
+    Piles are cells of a grid over the box: at most ``most``, of width ``least`` or, in
+    a wide box, as much wider as that takes. A pile stands for its points by mass
+    and centre; a point's own pile answers without the point. Piles are summed
+    before they are shuffled, and only they reach the driver.
+    """
+    rows = embedding.select("id", "y", F.lit(1.0).alias("weight")) if weights is None else embedding.join(weights, "id").select("id", "y", "weight")
+    dims = (embedding.agg(F.max(F.size("y"))).first()[0]) or 1
+    box = rows.agg(*(f(F.col("y")[k]) for k in range(dims) for f in (F.min, F.max))).first()
+    low, high = np.array([v or 0.0 for v in box[::2]]), np.array([v or 0.0 for v in box[1::2]])
+    side = max(int(most ** (1 / dims) + 1e-9), 1)
+    width = max(float((high - low).max()) / side * (1 + 1e-12), least)
+
+    def cells(y: np.ndarray) -> np.ndarray:
+        at = np.clip(((y - low) / width).astype(np.int64), 0, side - 1)
+        return (at * side ** np.arange(dims)).sum(1)
+
+    def pile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                y, w = _matrix(batch, "y"), batch.column("weight").to_numpy()
+                key, at = np.unique(cells(y), return_inverse=True)
+                sums = [np.bincount(at, w), *(np.bincount(at, w * y[:, k]) for k in range(dims))]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums)], names=["cell", "mass", *(f"m{k}" for k in range(dims))])
+
+    moments = [f"m{k}" for k in range(dims)]
+    piles = rows.mapInArrow(pile, "cell long, mass double, " + ", ".join(f"{m} double" for m in moments))
+    table = piles.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("mass", *moments))).filter("mass > 0").orderBy("cell").toArrow()  # at most ``most`` rows
+    keys, mass = table.column("cell").to_numpy(), table.column("mass").to_numpy()
+    moment = np.stack([table.column(m).to_numpy() for m in moments], axis=1)
+    every = embedding.sparkSession.sparkContext.broadcast((keys, mass, moment))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, mass, moment = every.value
+            if tree is None:
+                tree = trees.Tree(moment / np.maximum(mass, 1e-300)[:, None], mass) if len(keys) else None
+            y, w = _matrix(batch, "y"), batch.column("weight").to_numpy()
+            z, f = np.zeros(len(y)), np.zeros_like(y)
+            for s in range(0, len(y), 1024):
+                x, own = y[s : s + 1024], w[s : s + 1024]
+                at = np.clip(np.searchsorted(keys, cells(x)), 0, max(len(keys) - 1, 0))
+                if tree is None:
+                    continue
+                f[s : s + 1024], z[s : s + 1024] = tree.sums(x, own, at, mass[at], theta)
+                rest = mass[at] - own  # what shares the pile
+                shared = rest > 1e-9 * mass[at]
+                gap = np.where(shared[:, None], x - (moment[at] - own[:, None] * x) / np.where(shared, rest, 1)[:, None], 0)
+                q = 1 / (1 + (gap * gap).sum(1))
+                m = np.where(shared, rest * own, 0) * q
+                z[s : s + 1024] += m
+                f[s : s + 1024] += (m * q)[:, None] * gap
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(z), pa.array(list(f), pa.list_(pa.float64()))], names=["id", "z", "f"])
+
+    return rows.mapInArrow(run, "id long, z double, f array<double>")
+
+
 def normaliser(embedding: DataFrame) -> DataFrame:
     """One row: Z, the sum of kernels over ordered pairs."""
     return kernel_sums(embedding).agg(F.sum("z").alias("z"))
@@ -132,9 +199,9 @@ def attraction(embedding: DataFrame, edges: DataFrame) -> DataFrame:
     return sums.groupBy(F.col("i").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "a"))), lambda c: c["a"]).alias("a"))
 
 
-def gradient(embedding: DataFrame, edges: DataFrame, factor: float = 1.0, weights: DataFrame | None = None) -> DataFrame:
-    """id, g = 4 (factor * attraction - repulsion / Z); ``edges`` sum to one."""
-    sums = kernel_sums(embedding, weights)
+def gradient(embedding: DataFrame, edges: DataFrame, factor: float = 1.0, weights: DataFrame | None = None, sums: DataFrame | None = None) -> DataFrame:
+    """id, g = 4 (factor * attraction - repulsion / Z); ``edges`` sum to one, ``sums`` are those of :func:`kernel_sums` unless given."""
+    sums = kernel_sums(embedding, weights) if sums is None else sums
     total = sums.agg(F.sum("z").alias("total"))
     rows = embedding.join(sums, "id").join(attraction(embedding, edges), "id", "left").crossJoin(F.broadcast(total))  # one row
     zero = F.transform("y", lambda v: F.lit(0.0))
@@ -247,13 +314,56 @@ def _local(embedding: DataFrame, edges: DataFrame, weights: DataFrame | None):
 
 
 def embed(embedding: DataFrame, edges: DataFrame, p: Parameters, iterations: int, weights: DataFrame | None = None) -> DataFrame:
-    """id, y after ``iterations``."""
+    """id, y after ``iterations``; beyond ONE_TASK points by :func:`embed_by_steps`."""
+    if embedding.count() > ONE_TASK:
+        return embed_by_steps(embedding, edges, p, iterations, weights)
     state, i, j, w, mass = _local(embedding, edges, weights)
     for _ in range(iterations):
         state = iterate(state, i, j, w, p, mass)
     return _frame(embedding, state)
 
 
+def embed_by_steps(embedding: DataFrame, edges: DataFrame, p: Parameters, iterations: int, weights: DataFrame | None = None) -> DataFrame:
+    """id, y after ``iterations``, each a plan over all points and edges; only piles of points and sums reach the driver.
+
+    Repulsion is exact where ``p`` asks for it and the points fit a broadcast
+    (MOST_CELLS); else, also for fields, it is that of :func:`piled_sums`. The state
+    is stored after each step in the shared folder, and the one before is dropped.
+    """
+    cells = embedding.agg(F.sum(F.size("y"))).first()[0] or 0
+    exact = p.repulsion == "exact" and p.theta == 0 and cells <= MOST_CELLS
+    kept = edges.filter("i <> j").select("i", "j", "w")
+    total = kept.agg(F.sum("w").alias("total"))  # one row
+    kept = _stored(kept.crossJoin(F.broadcast(total)).select("i", "j", (F.col("w") / F.col("total")).alias("w")), "edges")[0]
+    state, path = _stored(embedding.select("id", "y", F.transform("y", lambda v: F.lit(0.0)).alias("v"), F.transform("y", lambda v: F.lit(1.0)).alias("gain")), "state")
+    dims = state.agg(F.max(F.size("y"))).first()[0] or 0
+    for t in range(iterations if dims else 0):
+        y, factor = state.select("id", "y"), exaggeration(t, p)
+        sums, spent = _stored(kernel_sums(y, weights) if exact else piled_sums(y, weights, p.theta or 0.5), "sums")
+        moved, step = _stored(updated(state, gradient(y, kept, factor, weights, sums), p, t), "state")
+        box = moved.agg(*(f(F.col("y")[k]) for k in range(dims) for f in (F.min, F.max))).first()
+        middle = [(a + b) / 2 for a, b in zip(box[::2], box[1::2], strict=True)]
+        extent = box[1] - box[0]
+        scale = 0.1 / extent if factor > 1.2 and 0 < extent < 0.1 else 1.0
+        state = moved.withColumn("y", F.array(*((F.col("y")[k] - middle[k]) * scale for k in range(dims))))
+        for old in (spent, path):
+            _dropped(old)
+        path = step
+    return state.select("id", "y")
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table in the shared folder, and where it is."""
+    path = files.folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _dropped(path: str) -> None:
+    store, at = files.located(path)
+    store.delete_dir(at)
+
+
 def _frame(like: DataFrame, state: State) -> DataFrame:
     return like.sparkSession.createDataFrame([(int(k), [float(v) for v in row]) for k, row in zip(state.ids, state.y, strict=True)], "id long, y array<double>")
 

@@ -46,10 +46,16 @@ class Tree:
 
     def repulsion(self, y: np.ndarray, weights: np.ndarray, theta: float) -> tuple[np.ndarray, float]:
         """(forces, Z): a cell stands for its points if it is a single one, or its half width over the distance is below theta."""
+        f, z = self.sums(y, weights, np.arange(len(y)), weights, theta)
+        return f, float(z.sum())
+
+    def sums(self, y: np.ndarray, weights: np.ndarray, own: np.ndarray, left_out: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
+        """(forces, z) on points y, each without its ``own`` point of the tree, whose mass ``left_out`` is taken from runs of equal points."""
         n, dims = y.shape
         f, z = np.zeros_like(y), np.zeros(n)
-        place = np.empty(n, np.int64)
-        place[self.order] = np.arange(n)
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.arange(len(self.order))
+        place = place[own]
         who, cell = np.arange(n), np.zeros(n, np.int64)
         last = len(self.starts) - 1
         for level, starts in enumerate(self.starts):
@@ -61,7 +67,7 @@ class Tree:
             single = size == 1
             done = single | (~inside & (width * width < theta * theta * d2)) | (level == last)
             use = done & ~(single & inside)
-            m = self.mass[level][cell[use]] - np.where(inside[use], weights[who[use]], 0)  # a run of equal points holds the point itself
+            m = self.mass[level][cell[use]] - np.where(inside[use], left_out[who[use]], 0)  # a run of equal points holds the point itself
             m = m * weights[who[use]]
             q = 1 / (1 + d2[use])
             z += np.bincount(who[use], m * q, n)
@@ -74,4 +80,4 @@ class Tree:
             ends = np.cumsum(count)
             cell = np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
             who = np.repeat(who, count)
-        return f, float(z.sum())
+        return f, z

@@ -158,6 +158,13 @@ def tsne_grad(spark, d):
     return _g(E.gradient(drawing(spark, d), _je(spark, d), 4.0))
 
 
+@query("tsne_grad_piled", f"WITH {_GRAD} SELECT id, {r('g0', 'g0')}, {r('g1', 'g1')} FROM grad")
+def tsne_grad_piled(spark, d):
+    """The same forces by a tree over piles of points, here fine ones of which none stands for others, so that they are exact."""
+    y = drawing(spark, d)
+    return _g(E.gradient(y, _je(spark, d), 4.0, sums=E.piled_sums(y, theta=1e-9, least=1e-3)))
+
+
 @query("wtsne_grad", f"""WITH {_JE}, {_ATT}, wd AS (SELECT *, (id % 3) + 1.0 AS m FROM drawing), rep AS (SELECT a.id, sum(q*a.m*b.m) AS z, sum(q*q*a.m*b.m*(a.y0-b.y0)) AS f0, sum(q*q*a.m*b.m*(a.y1-b.y1)) AS f1 FROM wd a JOIN wd b ON a.id <> b.id, LATERAL (SELECT 1 / (1 + (a.y0-b.y0)*(a.y0-b.y0) + (a.y1-b.y1)*(a.y1-b.y1)) AS q) GROUP BY a.id)
  SELECT id, {r('4 * (coalesce(a0, 0) - f0 / (SELECT sum(z) FROM rep))', 'g0')}, {r('4 * (coalesce(a1, 0) - f1 / (SELECT sum(z) FROM rep))', 'g1')} FROM rep LEFT JOIN att USING (id)""")
 def wtsne_grad(spark, d):
