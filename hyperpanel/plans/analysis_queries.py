@@ -315,13 +315,14 @@ def aoi_functor(spark, d):
     return rounded(H.over_area(h, 2, chosen, lambda a: a.join(panel(spark, d).select("id", "label"), "id").agg((F.sum(F.col("p") * F.col("label")) / F.sum("p")).alias("mean"))), "mean")
 
 
-_UPPER = "up AS (SELECT DISTINCT lm, CAST(lm // 100 AS INT) AS c FROM b1 WHERE lm < 400), lo AS (SELECT DISTINCT lm, CAST(lm // 50 AS INT) AS c FROM a1 WHERE lm < 300)"
+_UPPER = "up AS (SELECT DISTINCT lm, CAST(lm // 100 AS INT) AS c FROM b1 WHERE lm // 100 % 5 < 4), lo AS (SELECT DISTINCT lm, CAST(lm // 50 AS INT) AS c FROM a1 WHERE lm // 50 % 10 < 6)"
 
 
 def _clusters(spark, d):
+    """Clusters of both scales; a fifth of the upper and four tenths of the lower landmarks are left unclustered."""
     h = hierarchy(spark, d)
     group = lambda s, n: F.call_function("div", F.col("lm"), F.lit(n)).cast("int").alias("cluster_id")
-    return h, h.scales[2].landmarks.filter("lm < 400").select(group(2, 100), "lm"), h.scales[1].landmarks.filter("lm < 300").select(group(1, 50), "lm")
+    return h, h.scales[2].landmarks.filter("lm div 100 % 5 < 4").select(group(2, 100), "lm"), h.scales[1].landmarks.filter("lm div 50 % 10 < 6").select(group(1, 50), "lm")
 
 
 @query("cluster_flow", f"WITH {_AREA}, {_UPPER} SELECT coalesce(lo.c + 1, 0) AS source, coalesce(up.c + 1, 0) AS target, {r('sum(p)', 'value')} FROM b1 LEFT JOIN up ON up.lm = b1.lm LEFT JOIN lo ON lo.lm = b1.prev GROUP BY 1, 2")
@@ -390,10 +391,10 @@ def bipartite_connections(spark, d):
     return S.connections(a, m, b)
 
 
-@query("bipartite_greedy", f"WITH {_BIP} SELECT m.a, db.lm AS b, count(*) AS n FROM m JOIN db ON db.id = m.b WHERE m.a % 10 = 0 GROUP BY 1, 2")
+@query("bipartite_greedy", f"WITH {_BIP} SELECT m.a, db.lm AS b, count(*) AS n FROM m JOIN db ON db.id = m.b GROUP BY 1, 2")
 def bipartite_greedy(spark, d):
     m, a, b = _bipartite(spark, d)
-    return S.greedy_connections(a.filter("id % 10 = 0").select("id"), m, b)
+    return S.greedy_connections(a.select("id"), m, b)
 
 
 @query("bipartite_incoming", f"WITH {_BIP} SELECT b, CAST(sum(n) AS BIGINT) AS total FROM con GROUP BY b")
