@@ -128,3 +128,14 @@ def test_hierarchy_from_similarities_is_stored(spark, tmp_path):
         T.load_hierarchy(spark, str(tmp_path))
     with pytest.raises(ValueError):
         H.from_similarities(spark.createDataFrame([(0, 1, -1.0)], "i long, j long, w double"))
+
+
+def test_ties_of_influence_go_to_the_smaller_id_whatever_the_order_of_sums(spark):
+    # landmarks 1 and 2 influence 0 alike, but 0.1 + 0.2 + 0.3 is above 0.3 + 0.3 in doubles
+    points = spark.createDataFrame([(k, k, k, 1.0) for k in range(7)], "lm long, orig_id long, prev_id long, weight double")
+    first = spark.createDataFrame([(0, 3, 0.1), (0, 4, 0.2), (0, 5, 0.3), (0, 6, 0.6)], "prev long, lm long, p double")
+    second = spark.createDataFrame([(3, 2, 1.0), (4, 2, 1.0), (5, 2, 1.0), (6, 1, 1.0)], "prev long, lm long, p double")
+    own = H.Hierarchy([H.Scale(points, None), H.Scale(points, None, first), H.Scale(points, None, second)])
+    for order in (F.asc, F.desc):
+        own.scales[1].aoi = first.orderBy(order("p")).coalesce(1)
+        assert {r.id: r.lm for r in B.Side(None, None, own).landmarks_of(2).collect()}[0] == 1
